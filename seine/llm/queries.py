@@ -79,7 +79,7 @@ FROM f GROUP BY doc_id
 
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, string_split(text, chr(10)) AS lines FROM d),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 3, 1))) AS i, words FROM w),
 h AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS gram FROM g),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM h) WHERE n > 1),
@@ -87,7 +87,7 @@ c AS (SELECT doc_id, sum(least(5, i - coalesce(p, i - 5))) AS n FROM (SELECT doc
 ll AS (SELECT doc_id, host, unnest(lines) AS line FROM w),
 lk AS (SELECT doc_id, host, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM ll),
 kk AS (SELECT doc_id, host, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
-       len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '')) AS words FROM lk WHERE bare <> ''),
+       len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM lk WHERE bare <> ''),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM kk GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
 o AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM kk WHERE length(key) >= 20 GROUP BY host, key) x
@@ -103,12 +103,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 _REPEATS_SQL = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 33, 1))) AS i, words FROM w),
 h AS (SELECT doc_id, i, array_to_string(words[i:i+34], ' ') AS gram FROM g),
 twice AS (SELECT gram FROM h GROUP BY gram HAVING count(*) > 1),
-starts AS (SELECT doc_id, list(i) AS at FROM h SEMI JOIN twice USING (gram) GROUP BY doc_id),
-cover AS (SELECT DISTINCT doc_id, unnest(list_distinct(flatten(list_transform(at, i -> range(i, i + 35))))) AS pos FROM starts),
+starts AS (SELECT doc_id, list(i) AS firsts FROM h SEMI JOIN twice USING (gram) GROUP BY doc_id),
+cover AS (SELECT DISTINCT doc_id, unnest(list_distinct(flatten(list_transform(firsts, lambda i: range(i, i + 35))))) AS pos FROM starts),
 p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
 k AS (SELECT p.*, c.pos IS NOT NULL AS gone FROM p LEFT JOIN cover c ON p.doc_id = c.doc_id AND p.pos = c.pos),
 s AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed,
