@@ -28,18 +28,25 @@ from seine.llm.tables import rows, texts
 from seine.store import durable
 
 #: Words that a worker remembers the ids of, and the longest that it remembers.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 600_000, 40
 _SIMPLE = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes each byte: printable Latin-1 as itself, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and never joins over it, so a text's ids are those of
-    its white-space separated words.  Words that recur are looked up; new ones are encoded
-    together.  Ids whose piece ends a word tell them apart: plain words, i.e. letters of
-    _SIMPLE with marks before and after, have as many word ends as runs of letters and of
-    marks.  Every other word is encoded alone.
+    its white-space separated words.  Words that recur are looked up.  A new word of letters
+    of _SIMPLE with marks after them is normalised here (lower case; it is composed already)
+    and split as the tokenizer splits it, and its two parts go to the tokenizer's model;
+    every other word goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: str):
@@ -50,50 +57,45 @@ class WordIds:
 
         at = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self.encoder = Tokenizer.from_file(at)
-        vocabulary = self.encoder.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(self.encoder.get_vocab_size(), max(vocabulary.values()) + 1), bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.model = self.encoder.model
         self.plain = re.compile(rf"([{_SIMPLE}{_SIMPLE.upper().replace('SS', '')}]*)([-.,;:!?()|#$%&*+=/_]*)")
-        self.known: dict[str, bytes] = {}
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        joined, ends = [], []
-        for w in new:
-            m = self.plain.fullmatch(w)
-            if m and "ß" not in w:
-                joined.append(w)
-                ends.append((m.end(1) > 0) + (m.end(2) > m.end(1)))
+        self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        self.parts[part] = ids
+        return ids
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
+            self.known, self.parts = {}, {"": b""}
+        plain, parts = self.plain.fullmatch, self.parts
+        known = self.known
+        for w in [w for w in words if w not in known]:
+            word = w.decode()
+            m = plain(word)
+            if m:
+                a, b = m.groups()
+                a = a.lower()
+                known[w] = (parts[a] if a in parts else self._part(a)) + (parts[b] if b in parts else self._part(b))
             else:
-                self.known[w] = self._alone(w)
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            ids = np.array(self.encoder.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stop = np.cumsum(ends[at : at + 2000])
-            edge = np.flatnonzero(self.ends[ids]) + 1
-            if len(edge) != stop[-1]:
-                for w in part:
-                    self.known[w] = self._alone(w)
-                continue
-            cut = [0, *edge[stop - 1].tolist()]
-            raw = ids.tobytes()
-            for w, a, b in zip(part, cut, cut[1:]):
-                self.known[w] = raw[4 * a : 4 * b]
+                ids = self.encoder.encode(word, add_special_tokens=False).ids
+                known[w] = b"".join([i.to_bytes(4, "little") for i in ids])
 
-    def __call__(self, batch: list[str]):
+    def __call__(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.encode().split() for t in batch]
-        split = [[w.decode() for w in x] for x in split]
-        held = set().union(*split) if split else set()
-        self.learn({w for w in held if len(w) <= LONGEST})
+        held = set().union(*split)
+        self.learn(held)
         known = self.known
-        for words in split:
-            yield b"".join([known[w] if len(w) <= LONGEST else self._alone(w) for w in words])
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in held:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -109,8 +111,8 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     def run(batches):
         ids_of = WordIds(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 out: dict[str, list] = {n: [] for n in _PIECE_ARROW.names}
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist())):
                     ids += end
