@@ -1 +1,160 @@
-"""Queries."""
+"""Lexical retrieval over the documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from seine.functions import text as X
+from seine.operators import retrieve
+from seine.plans import trigrams as plans
+from seine.queries import query
+from seine.queries.text import CHUNKS, FILES, chunks, files, tokens_sql
+from seine.store import read_table
+
+TERMS = ["ention", "onthe", "threre"]
+_TERMS_SQL = ", ".join(f"'{t}'" for t in TERMS)
+
+
+def bm25_sql(terms_sql: str, limit: str = "") -> str:
+    """s(doc_id, score): two fields (content 1, path 1.5) of files, for the given terms."""
+    return rf"""{FILES}, {tokens_sql('files', 'doc_id', 'content')},
+path AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(file_path, '\.[^./]*$', '')), '[/_-]+'), lambda x: x <> '')) AS token FROM files),
+toks AS (SELECT 'content' AS field, doc_id, token FROM t_files UNION ALL SELECT 'path', doc_id, token FROM path),
+dl AS (SELECT field, doc_id, count(*) AS dl FROM toks GROUP BY ALL), fs AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY field),
+tf AS (SELECT field, doc_id, token, count(*) AS tf FROM toks WHERE token IN ({terms_sql}) GROUP BY ALL),
+df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT doc_id, sum((CASE field WHEN 'path' THEN 1.5 ELSE 1.0 END) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+      FROM tf JOIN df USING (field, token) JOIN fs USING (field) JOIN dl USING (field, doc_id) GROUP BY doc_id)"""
+
+
+def index(spark, sf_dir):
+    fields = {"content": X.code_tokens(F.col("content")), "path": X.path_segments(F.col("file_path"))}
+    return retrieve.postings(files(spark, sf_dir), "doc_id", fields)
+
+
+BOOSTS = {"content": 1.0, "path": 1.5}
+
+
+def scores(spark, sf_dir, terms=TERMS):
+    return retrieve.bm25(index(spark, sf_dir), "doc_id", terms, BOOSTS)
+
+
+@query(f"WITH {bm25_sql(_TERMS_SQL)} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def bm25_search(spark, sf_dir):
+    """The 20 best documents for three terms over two boosted fields."""
+    return retrieve.top(scores(spark, sf_dir), 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {bm25_sql(_TERMS_SQL)} SELECT field, token AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM toks GROUP BY ALL")
+def term_statistics(spark, sf_dir):
+    return retrieve.term_statistics(index(spark, sf_dir))
+
+
+@query(f"WITH {bm25_sql(_TERMS_SQL)} SELECT field, n, round(avgdl, 6) AS avgdl FROM fs")
+def field_statistics(spark, sf_dir):
+    return retrieve.field_statistics(index(spark, sf_dir), "doc_id").select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(
+    f"""WITH {CHUNKS} SELECT file_path, CAST(line_start AS INT) AS line_start, CAST((length(content) - length(replace(content, 'the er', ''))) / 6 AS BIGINT) AS score
+FROM chunks WHERE contains(content, 'the er') ORDER BY score DESC, file_path, line_start LIMIT 50"""
+)
+def exact_search(spark, sf_dir):
+    hits = retrieve.exact(chunks(spark, sf_dir), "the er")
+    return hits.orderBy(F.desc("score"), "file_path", "line_start").limit(50).select("file_path", "line_start", "score")
+
+
+_TRI_SQL = "tri AS (SELECT DISTINCT doc_id, text[i:i+2] AS trigram FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 1, 1))) AS i FROM documents))"
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT doc_id, line[i:i+2] AS trigram FROM (SELECT doc_id, line, unnest(range(1, greatest(length(line) - 1, 1))) AS i FROM w))
+SELECT trigram, count(DISTINCT doc_id) AS docs FROM t WHERE length(trigram) = 3 GROUP BY trigram"""
+)
+def trigram_index(spark, sf_dir):
+    """Documents of each trigram within lines."""
+    found = retrieve.trigrams(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.where(~F.col("trigram").contains("\n")).groupBy("trigram").agg(F.count("*").alias("docs"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'ingthe')")
+def trigram_literal_search(spark, sf_dir):
+    """Candidates by trigrams, then verified."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = plans.execute(plans.of_literal("ingthe"), retrieve.trigrams(docs, "doc_id", "text"), docs, "doc_id")
+    return docs.join(found, "doc_id", "left_semi").where(F.col("text").contains("ingthe")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'ingthe|ouaux[a-z]+re|[0-9]{4}er')")
+def trigram_regex_search(spark, sf_dir):
+    """A pattern planned into trigrams (alternation of an AND and a match-all), executed as set operations, then verified."""
+    docs = read_table(spark, sf_dir, "documents")
+    rule = "ingthe|ouaux[a-z]+re|[0-9]{4}er"
+    found = plans.execute(plans.of_regex(rule), retrieve.trigrams(docs, "doc_id", "text"), docs, "doc_id")
+    return docs.join(found, "doc_id", "left_semi").where(F.col("text").rlike(rule)).select("doc_id")
+
+
+def grep_sql(condition: str, context: int = 0) -> str:
+    return f"""WITH {FILES}, l AS (SELECT file_path, string_split(content, chr(10)) AS lines FROM files),
+u AS (SELECT file_path, lines, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM l)
+SELECT file_path, CAST(line_no AS INT) AS line_no, md5(line) AS line, array_to_string(lines[greatest(line_no - {context} + 1, 1):line_no], chr(10)) AS before,
+array_to_string(lines[line_no + 2:line_no + 1 + {context}], chr(10)) AS after FROM u WHERE {condition}"""
+
+
+def _grep(spark, sf_dir, *args, **more):
+    found = retrieve.grep(files(spark, sf_dir), *args, **more)
+    return found.select(
+        "file_path", "line_no", F.md5("line").alias("line"), F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after")
+    )
+
+
+@query(grep_sql("regexp_matches(line, '[0-9]{3}\\.[0-9]+')", 2))
+def grep_regex_with_context(spark, sf_dir):
+    return _grep(spark, sf_dir, "[0-9]{3}\\.[0-9]+", context=2)
+
+
+@query(grep_sql("contains(lower(line), 'theand') AND file_path LIKE '%/en/%'"))
+def grep_literal_ignoring_case(spark, sf_dir):
+    return _grep(spark, sf_dir, "theand", literal=True, ignore_case=True, glob="*/en/*")
+
+
+@query(grep_sql("NOT contains(line, 'e')"))
+def grep_inverted(spark, sf_dir):
+    return _grep(spark, sf_dir, "e", literal=True, invert=True)
+
+
+@query(
+    f"""WITH {FILES}, u AS (SELECT file_path, unnest(string_split(content, chr(10))) AS line FROM files)
+SELECT file_path, count(*) AS n FROM u WHERE regexp_matches(line, '[A-Z]{{4}}') GROUP BY file_path"""
+)
+def grep_counts(spark, sf_dir):
+    return retrieve.grep(files(spark, sf_dir), "[A-Z]{4}").groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {bm25_sql(_TERMS_SQL)}, r AS (SELECT source AS project, s.doc_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, s.doc_id) - 1 AS rank FROM s JOIN files USING (doc_id))
+SELECT project || ':' || doc_id AS key, round((CASE WHEN project = 'src0' THEN 2.0 ELSE 1.0 END) / (60 + rank + 1), 6) AS score FROM r
+ORDER BY (CASE WHEN project = 'src0' THEN 2.0 ELSE 1.0 END) / (60 + rank + 1) DESC, key LIMIT 30"""
+)
+def federated_search(spark, sf_dir):
+    """Each source is a project with its own ranking; lists are fused by weight and rank."""
+    scored = scores(spark, sf_dir).join(files(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    w = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
+    ranked = scored.select(F.col("source").alias("project"), F.col("doc_id").alias("key"), (F.row_number().over(w) - 1).alias("rank"))
+    return retrieve.search_federated(ranked, {"src0": 2.0}, 60, 30).select("key", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {FILES} SELECT source AS project, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM files GROUP BY source")
+def federated_statistics(spark, sf_dir):
+    return files(spark, sf_dir).groupBy(F.col("source").alias("project")).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+
+
+@query(
+    f"""WITH {CHUNKS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT lang) FROM files) AS languages"""
+)
+def index_statistics(spark, sf_dir):
+    own = files(spark, sf_dir)
+    counts = own.agg(F.count("*").alias("files"), F.countDistinct("lang").alias("languages"))
+    return counts.join(F.broadcast(chunks(spark, sf_dir).agg(F.count("*").alias("chunks"))), F.lit(True))
