@@ -107,7 +107,7 @@ def _sent(route, value, more, doc, pos, ids, ths, parts):
     twice = np.r_[False, same] | np.r_[same, False]
     first = np.r_[True, ~same]
     for d, a, n in zip(*_runs(doc[twice], pos[twice])):
-        part = int(np.uint64(ths[d] & 0xFFFFFFFF) * np.uint64(parts) >> np.uint64(32))
+        part = (((ids[d] or 0) * _BASE + ths[d]) >> 32 & 0xFFFFFFFF) * parts >> 32  # copies share th, not doc_id
         yield part, 0, None, None, None, np.array([a, n], np.int32).tobytes(), ids[d], ths[d]
     keep = ~twice | first
     doc = np.where(twice, -1, doc)
