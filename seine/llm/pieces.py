@@ -19,7 +19,9 @@ worker keeps, so only new ones are encoded.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from seine.llm.tables import rows, texts
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
+_UNIT = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 #: Words that a worker remembers, pairs that it remembers, and words encoded at a time.
-REMEMBERED, PAIRS, AT_ONCE = 300_000, 1_000_000, 20_000
+REMEMBERED, PAIRS, AT_ONCE = 500_000, 1_000_000, 20_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,7 +52,7 @@ class Vocabulary:
         self.score_of = {p: s for p, (_, s) in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
         text = list(pieces)
-        keys = np.array([self._hash(p) for p in text], np.uint64)
+        keys = self._hashes(text)
         order = np.argsort(keys)
         self.keys = keys[order]
         if len(np.unique(self.keys)) != len(keys):
@@ -62,11 +65,16 @@ class Vocabulary:
         self.apart: dict[int, bool] = {}
 
     @staticmethod
-    def _hash(piece: str) -> int:
-        total = 0
-        for c in piece:
-            total = (total * int(_BASE) + int(_mixed(np.array([ord(c) + 1], np.uint64))[0])) & ((1 << 64) - 1)
-        return total
+    def _hashes(text: list[str]) -> np.ndarray:
+        out = np.zeros(len(text), np.uint64)
+        size = np.array([len(p) for p in text])
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join(text[i] for i in own).encode("utf-32-le"), "<u4").reshape(len(own), n)
+            mixed = _mixed(codes.astype(np.uint64) + np.uint64(1))
+            for column in range(n):
+                out[own] = out[own] * _BASE + mixed[:, column]
+        return out
 
     @classmethod
     def load(cls, model: str, kind: str) -> Vocabulary:
@@ -116,8 +124,8 @@ class Vocabulary:
             answer[n] = got
         return answer[where] > 0
 
-    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backpointers (length of the last piece of each prefix) of words given as rows of code points, and is there a path."""
+    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words given as rows of code points: length and id of each prefix's last piece, and is there a path."""
         m, n = words.shape
         mixed = _mixed(words.astype(np.uint64) + np.uint64(1))
         best = np.full((m, n + 1), -np.inf)
@@ -155,7 +163,21 @@ class Vocabulary:
             every = np.arange(m)
             best[:, end], last[:, end] = score[every, choice], piece[every, choice]
             back[:, end] = width - choice
-        return back, best[:, n] > -np.inf
+        return back, last, best[:, n] > -np.inf
+
+    @staticmethod
+    def _walk(back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[int], list[bool]]:
+        """All words' pieces, followed backwards together: ids (right-aligned), their number, and are all characters known."""
+        m, n = len(back), back.shape[1] - 1
+        at, every = np.full(m, n), np.arange(m)
+        columns, size, plain = [], np.zeros(m, np.int64), np.ones(m, bool)
+        while (at > 0).any():
+            ids = np.where(at > 0, last[every, at], 0)
+            plain &= ids >= 0
+            size += at > 0
+            columns.append(ids)
+            at = np.maximum(at - np.maximum(back[every, at], 1), 0)
+        return np.stack(columns[::-1], axis=1).astype("<u4"), size.tolist(), plain.tolist()
 
     def _ids(self, word: str, cuts: list[int]) -> bytes:
         out, start = [], 0
@@ -182,17 +204,18 @@ class Vocabulary:
             for a in range(0, len(same), step):
                 part = same[a : a + step]
                 codes = np.frombuffer("".join(part).encode("utf-32-le"), "<u4").reshape(len(part), n)
-                back, found = self.viterbi(codes)
-                for w, b, ok in zip(part, back.tolist(), found.tolist()):
-                    if ok:
-                        cuts, end = [], n
-                        while end:
-                            cuts.append(end)
-                            end -= b[end]
-                        cuts.reverse()
-                    else:
-                        cuts = np.cumsum([len(p) for p in self.merged(w)]).tolist()
-                    out[w] = self._ids(w, cuts)
+                back, last, found = self.viterbi(codes)
+                ids, size, plain = self._walk(back, last)
+                raw, width = ids.tobytes(), 4 * ids.shape[1]
+                for i, w in enumerate(part):
+                    if plain[i] and found[i]:
+                        out[w] = raw[(i + 1) * width - 4 * size[i] : (i + 1) * width]
+                        continue
+                    cuts, end = [], n
+                    while end and found[i]:
+                        cuts.append(end)
+                        end -= int(back[i, end])
+                    out[w] = self._ids(w, cuts[::-1] if found[i] else np.cumsum([len(p) for p in self.merged(w)]).tolist())
         return out
 
 
@@ -201,19 +224,7 @@ def words_of(text: str) -> list[str]:
 
     No piece holds a mark after another character, so these words are encoded alone.
     """
-    if not text:
-        return []
-    marked = _SPACE + text.replace(" ", _SPACE)
-    parts = marked.split(_SPACE)  # parts[0] is empty: the text begins with a mark
-    out, marks = [], 0
-    for part in parts[1:]:
-        marks += 1
-        if part:
-            out.append(_SPACE * marks + part)
-            marks = 0
-    if marks:
-        out.append(_SPACE * marks)
-    return out
+    return _UNIT.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
 
 
 class Encoder:
@@ -244,12 +255,16 @@ class Encoder:
         return b"".join(p if p is not None else b"\xef\xbf\xbd" for p in pieces).decode(errors="replace")[1:]
 
 
+#: One encoder a worker process, with what it remembers, for all its tasks.
+_encoder = lru_cache(1)(Encoder)
+
+
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) for every row of `docs`; null and empty texts have no ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        own = Encoder(model, kind)
+        own = _encoder(model, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 ids, lines = (c.to_pylist() for c in batch.slice(at, 1000).columns)
@@ -264,7 +279,7 @@ def decode(coded: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bp
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        own = Encoder(model, kind)
+        own = _encoder(model, kind)
         for batch in batches:
             ids, lines = (c.to_pylist() for c in batch.columns)
             text = [None if x is None else own.decode(np.array(x, "<u4").tobytes()) for x in lines]
@@ -281,7 +296,7 @@ def report(docs: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("same", pa.bool_())])
 
     def run(batches):
-        own = Encoder(model, kind)
+        own = _encoder(model, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 ids, lines = (c.to_pylist() for c in batch.slice(at, 1000).columns)
