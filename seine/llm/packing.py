@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,9 @@ class WordIds:
         return out
 
 
+#: One a worker process, with what it remembers, for all its tasks.
+_word_ids = lru_cache(1)(WordIds)
+
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _PIECE_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())]
@@ -109,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        ids_of = WordIds(tokenizer)
+        ids_of = _word_ids(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
