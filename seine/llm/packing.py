@@ -99,8 +99,11 @@ class WordIds:
         return out
 
 
-#: One a worker process, with what it remembers, for all its tasks.
-_word_ids = lru_cache(1)(WordIds)
+@lru_cache(1)
+def _word_ids(tokenizer: str) -> WordIds:
+    """One a worker process, with what it remembers, for all its tasks."""
+    return WordIds(tokenizer)
+
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _PIECE_ARROW = pa.schema(

@@ -255,8 +255,10 @@ class Encoder:
         return b"".join(p if p is not None else b"\xef\xbf\xbd" for p in pieces).decode(errors="replace")[1:]
 
 
-#: One encoder a worker process, with what it remembers, for all its tasks.
-_encoder = lru_cache(1)(Encoder)
+@lru_cache(1)
+def _encoder(model: str, kind: str) -> Encoder:
+    """One a worker process, with what it remembers, for all its tasks."""
+    return Encoder(model, kind)
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
