@@ -1 +1,105 @@
-"""Queries."""
+"""Vector search over the embeddings."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from seine.functions import text as X
+from seine.operators import rank, vectors
+from seine.queries import query
+from seine.store import read_table
+
+DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+
+
+def base(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+
+
+_COS = f"{DOT.format('a.embedding', 'b.embedding')} / (sqrt({DOT.format('a.embedding', 'a.embedding')}) * sqrt({DOT.format('b.embedding', 'b.embedding')}))"
+
+
+@query(
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INT) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10"""
+)
+def batch_vector_search(spark, sf_dir):
+    """Every vector whose id is divisible by 50 against all vectors."""
+    own = base(spark, sf_dir)
+    return vectors.top_k(own, own.where("vec_id % 50 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT b.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.vec_id <> 7 AND b.label = 1 ORDER BY {_COS} DESC, b.vec_id LIMIT 10")
+def filtered_vector_search(spark, sf_dir):
+    """Top 10 among one label."""
+    own = base(spark, sf_dir)
+    found = vectors.top_k(own.where("label = 1"), own.where("vec_id = 7"), 10)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""SELECT b.vec_id, round({DOT.format('a.embedding', 'b.embedding')}, 6) AS dot, round({_COS}, 6) AS cosine,
+round(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))), 6) AS l2 FROM embeddings a, embeddings b WHERE a.vec_id = 3"""
+)
+def distances(spark, sf_dir):
+    own = base(spark, sf_dir)
+    one = own.where("vec_id = 3").select(F.col("vector").alias("q")).limit(1)
+    v, q = F.col("vector"), F.col("q")
+    return own.join(F.broadcast(one), F.lit(True)).select(
+        "vec_id", F.round(X.dot(q, v), 6).alias("dot"), F.round(X.cosine(q, v), 6).alias("cosine"), F.round(X.squared_distance(q, v), 6).alias("l2")
+    )
+
+
+@query()
+def mmr_selection(spark, sf_dir):
+    """Five diverse neighbours of thirty candidates a query."""
+    own = base(spark, sf_dir)
+    near = vectors.top_k(own, own.where("vec_id % 50 = 0"), 30)
+    found = near.join(own.select("vec_id", "vector"), "vec_id")
+    return rank.mmr(found.select("query_id", F.col("vec_id").alias("key"), F.col("score").alias("relevance"), "vector"), 5)
+
+
+@query()
+def product_quantization(spark, sf_dir):
+    codes, _ = vectors.product_codes(base(spark, sf_dir))
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"))
+
+
+@query()
+def quantized_search(spark, sf_dir):
+    """Ten nearest by table sums over codes, for each vector divisible by 50."""
+    own = base(spark, sf_dir)
+    codes, book = vectors.product_codes(own)
+    asked = own.where("vec_id % 50 = 0").limit(vectors.MOST_QUERIES).collect()
+    parts, _, width = book.shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            code = np.array([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]).reshape(-1, parts)
+            for r in asked:
+                table = ((np.array(r["vector"], float).reshape(parts, 1, width) - book) ** 2).sum(2)
+                far = table[np.arange(parts), code].sum(1)
+                best = np.lexsort((ids, far))[:10]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["vec_id"])), pa.array(ids[best]), pa.array(far[best])], ["query_id", "vec_id", "far"])
+
+    from pyspark.sql import Window
+
+    found = codes.mapInArrow(run, "query_id long, vec_id long, far double")
+    w = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w) - 1).where("rank < 10").select("query_id", "vec_id", "rank")
+
+
+@query()
+def embedding_cluster_merge(spark, sf_dir):
+    return vectors.sign_bucket_merge(base(spark, sf_dir))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def unembedded_chunks(spark, sf_dir):
+    """Ids of one table without an entry in another: the queue of what is still to be embedded."""
+    done = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
+    return base(spark, sf_dir).join(done, "vec_id", "left_anti").select("vec_id")
