@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from seine.store import durable
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-_NONE = F.lit(-(1 << 63))
+_NONE = -(1 << 63)
 
 
 def _running(found: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
@@ -83,8 +83,8 @@ def rotate(
     speaker = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
     text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     own = turns.select(
-        F.coalesce(F.col(conv_col).cast("long"), _NONE).alias("conv"),
-        F.coalesce(F.col(turn_col).cast("long"), _NONE).alias("at"),
+        F.coalesce(F.col(conv_col).cast("long"), F.lit(_NONE)).alias("conv"),
+        F.coalesce(F.col(turn_col).cast("long"), F.lit(_NONE)).alias("at"),
         speaker.alias("speaker"),
         text.alias("text"),
     ).withColumn("th", F.xxhash64("text"))
@@ -105,10 +105,10 @@ def rotate(
     train = label == "assistant"
     first = F.col("before") + F.char_length(head)
     return found.select(
-        F.nullif("conv", _NONE).alias("conv_id"),
+        F.nullif("conv", F.lit(_NONE)).alias("conv_id"),
         "view",
         "position",
-        F.nullif("at", _NONE).alias("turn"),
+        F.nullif("at", F.lit(_NONE)).alias("turn"),
         label.alias("label"),
         name.alias("name"),
         train.alias("train"),

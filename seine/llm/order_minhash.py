@@ -129,8 +129,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = F.lit((1 << 63) - 1)
     own = docs.select(F.coalesce("doc_id", most).alias("at"), "doc_id", "text")
-    bounds = sorted(set(own.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)))
-    bounds = [int(b) for b in bounds]
+    steps = [i / parts for i in range(1, parts)]
+    found = own.approxQuantile("at", steps, 0.2 / parts) if steps else []
+    bounds = sorted({min(int(b), (1 << 63) - 1) for b in found})
     part = F.lit(0)
     if bounds:  # the number of bounds below: log(parts) comparisons a row, not parts
         part = _below(F.col("at"), bounds)
