@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from seine.functions import text as X
 from seine.operators.graph import real
 
-ORDER = [F.desc, F.asc]
+
 
 
 def by_score(*more: str) -> list[Column]:
