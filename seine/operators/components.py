@@ -18,8 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Each round is two aggregations by minimum (combined before the shuffle) and two joins
-    with their one-row-per-node results, so a node with a third of all edges is split by
-    AQE's skew join.  Rounds grow with the logarithm of the longest path.  Edges with a null
+    with their one-row-per-node results.  Those are written first: both sides of a join are
+    then plain shuffles, which AQE splits for a node with a third of all edges.  Rounds grow with the logarithm of the longest path.  Edges with a null
     end and self loops are ignored; repeated edges count once.
     """
     a, b = F.col(src), F.col(dst)
@@ -34,9 +34,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if state[0] == 0:
             break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large, "cc-large")
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = (
             large.join(low, "u")
             .where("v <> m")
@@ -45,7 +46,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
             .distinct()
         )
         new = durable(small, "cc")
-        release(now)
+        for df in (now, least, large, low):
+            release(df)
         after = _state(new)
         done, now, state = after == state, new, after
         if done:
