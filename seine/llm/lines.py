@@ -5,8 +5,8 @@ documents of each hash are counted, and the surviving lines are put together by
 
 Scale.  The exploded table holds hashes, not text, and is written once.  Distinct (hash,
 document) pairs are formed before the count, so a line of a third of all documents is
-spread over all tasks and then combined before its second shuffle; the join with the few
-repeated hashes can be split by AQE.  The text is shuffled once, at the end.
+spread over all tasks and then combined before its second shuffle.  The repeated hashes are
+written, so that their join with the lines is one of two plain shuffles, which AQE splits.  The text is shuffled once, at the end.
 """
 
 from __future__ import annotations
@@ -33,14 +33,15 @@ def _line_table(docs: DataFrame, least_chars: int) -> DataFrame:
 def lost_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """(doc_id, th, lost): positions of the lines that each text of `docs` (see tables.texts) loses."""
     lines = durable(_line_table(docs, least_chars), "lines")
-    often = (
+    often = durable(
         lines.where("doc_id is not null")
         .select("h1", "h2", "doc_id")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= least_docs)
-        .drop("n")
+        .drop("n"),
+        "often",
     )
     return (
         lines.join(often, ["h1", "h2"])
