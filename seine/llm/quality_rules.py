@@ -5,8 +5,9 @@ the host's limit are removed, and documents that this depletes are rejected.
 
 Scale.  One pass over the text writes a table of measures and line hashes; all that
 follows runs on it.  Counts are formed over distinct (host, line, document) triples, so a
-host or a line with a third of all rows is spread before it is combined; the join back on
-(host, line) can be split by AQE.  No text is shuffled.
+host or a line with a third of all rows is spread before it is combined.  The lines over
+their limit are written, so that the join back is one of plain shuffles, which AQE splits.
+No text is shuffled.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def judge(
         .where(F.col("n") > most_docs)
     )
     hosts = base.where("doc_id is not null").select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    over = counts.join(hosts, "host").where(F.col("n") > most_share * F.col("all")).select("host", "h1", "h2")
+    over = durable(counts.join(hosts, "host").where(F.col("n") > most_share * F.col("all")).select("host", "h1", "h2"), "over")
     gone = lines.join(over, ["host", "h1", "h2"]).groupBy("rid").agg(F.sum("words").alias("gone"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
