@@ -29,7 +29,7 @@ from seine.llm.tables import rows, texts
 from seine.store import durable
 
 #: Words that a worker remembers the ids of, and the longest that it remembers.
-REMEMBERED, LONGEST = 600_000, 40
+REMEMBERED, LONGEST = 250_000, 40
 _SIMPLE = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
