@@ -91,14 +91,52 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 8) -> DataFrame:
     return seen
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, relative: bool = True) -> DataFrame:
+#: Edges up to which PageRank runs in one task (some 10 MB there).
+ONE_TASK = 200_000
+
+
+def _pagerank_in_task(own: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, tolerance: float, relative: bool) -> DataFrame:
+    """PageRank of at most ONE_TASK edges as a fold of one group; the same steps as the distributed form."""
+    pairs = own.select("src", "dst", F.lit(None).cast("double").alias("weight"))
+    if seeds is not None:
+        pairs = pairs.unionByName(seeds.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        links, asked = pdf[pdf["dst"].notna()], pdf[pdf["dst"].isna()]
+        names, at = np.unique(np.concatenate([links["src"].to_numpy(str), links["dst"].to_numpy(str)]), return_inverse=True)
+        a, b, n = at[: len(links)], at[len(links) :], len(names)
+        out = np.bincount(a, minlength=n)
+        jump = np.zeros(n)
+        place = {v: i for i, v in enumerate(names)}
+        for node, weight in zip(asked["src"], asked["weight"]):
+            if node in place:
+                jump[place[node]] += weight
+        jump = jump / jump.sum() if jump.sum() > 0 else np.full(n, 1 / max(1, n))
+        rank = jump.copy()
+        for _ in range(rounds):
+            flow = np.bincount(b, rank[a] / out[a], minlength=n)
+            new = jump * ((1 - damping) + damping * rank[out == 0].sum()) + damping * flow
+            moved, rank = np.abs(new - rank).max(initial=0), new
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"node": names, "rank": rank / rank.max(initial=1e-300) if relative else rank})
+
+    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "node string, rank double")
+
+
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, relative: bool = True, one_task: int = ONE_TASK) -> DataFrame:
     """(node, rank).  Teleports and dangling mass go to all real nodes, or to `seeds` (node, weight) by weight.
 
     Stops after `rounds`, or when no rank moves by `tolerance`.  `relative` divides by the
     largest rank.  Seeds outside the graph count for nothing; without a valid one the rank
-    is the global one.
+    is the global one.  Graphs of at most `one_task` edges (counted) run in one task.
     """
     own = durable(real(edges), "edges")
+    if own.count() <= one_task:
+        return _pagerank_in_task(own, seeds, damping, rounds, tolerance, relative)
     names = nodes_of(edges).where(~is_external(F.col("node")))
     out = own.groupBy("src").agg(F.count("*").alias("out"))
     links = durable(own.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
-from seine.operators import corpus, graph, symbols
+from seine.operators import corpus, engine, graph, symbols
 from seine.queries import query
 from seine.queries.text import FILES, files, tokens_sql
 from seine.sources import code, docs
@@ -135,3 +135,128 @@ def token_savings(spark, sf_dir):
     found = files(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(X.code_tokens(F.col("content"))).alias("token"))
     per = found.groupBy("doc_id", "token").count()
     return per.groupBy("doc_id").agg(F.sum("count").alias("tokens"), F.count("*").alias("vocabulary"))
+
+
+# --- compositions ------------------------------------------------------------------------
+
+
+@query()
+def read_symbol_source(spark, sf_dir):
+    return engine.symbol_source(repo(spark), code.symbols(repo(spark)), "parse_d")
+
+
+@query(_values("('add', '_external/github/issue-7.md'), ('keep', 'README.md')", "k, file_path"))
+def external_import(spark, sf_dir):
+    old = spark.createDataFrame([("README.md", "x"), ("_external/github/issue-1.md", "old")], "file_path string, content string")
+    new = spark.createDataFrame([(7, "T", "B", "open", "ann", ["bug"], "u")], "number long, title string, body string, state string, author string, labels array<string>, url string")
+    found = engine.import_external(old, new, "github")
+    return found.select(F.when(F.col("file_path") == "README.md", "keep").otherwise("add").alias("k"), "file_path")
+
+
+@query(_values("('a', 'removed'), ('b', 'added'), ('c', 'added'), ('d', 'modified'), ('e', 'removed'), ('g', 'added')", "file_path, change"))
+def git_sync(spark, sf_dir):
+    rows = [("R100", "a", "b"), ("A", "c", None), ("M", "d", None), ("D", "e", None), ("C75", "f", "g")]
+    return engine.git_changes(spark.createDataFrame(rows, "status string, old string, new string"))
+
+
+@query(_values("('src/engine.rs', 'caller'), ('src/parser.rs', 'core'), ('src/main.rs', 'caller')", "file_path, role"))
+def feature_hub(spark, sf_dir):
+    own = repo(spark)
+    tests = spark.createDataFrame([], "test string, source string")
+    return engine.feature_hub(own.where("file_path = 'src/parser.rs'"), code.import_edges(own), tests)
+
+
+@query(_values("('test', 'tests/test_utils.py'), ('test', 'tests/test_utils.py'), ('call', 'py/utils.py')", "kind, file_path").replace("('test', 'tests/test_utils.py'), ('test', 'tests/test_utils.py')", "('test', 'tests/test_utils.py')"))
+def usage_examples(spark, sf_dir):
+    return engine.usage_examples(repo(spark), "title").select("kind", "file_path")
+
+
+@query()
+def focus_map(spark, sf_dir):
+    return engine.focus_map(code.import_edges(repo(spark)), ["src/engine.rs", "py/utils.py"])
+
+
+@query()
+def type_relations(spark, sf_dir):
+    rows = [("P", "impl Shape for P"), ("D", "class D(Base)"), ("X", "class X extends Y implements Z"), ("f", "fn f()")]
+    return engine.type_relations(spark.createDataFrame(rows, "name string, signature string"))
+
+
+@query(f"WITH {FILES}, p AS (SELECT file_path, unnest(string_split(replace(content, chr(10), chr(12)), chr(12))) AS page, generate_subscripts(string_split(replace(content, chr(10), chr(12)), chr(12)), 1) AS n FROM files) SELECT file_path, CAST(n AS INT) AS page, md5(page) AS digest FROM p WHERE trim(page) <> ''")
+def pdf_pages(spark, sf_dir):
+    """Lines stand for the pages of extracted text."""
+    paged = files(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\f")))
+    return engine.pdf_pages(paged).select("file_path", "page", F.md5("content").alias("digest"))
+
+
+@query(
+    f"""WITH {FILES}, b AS (SELECT file_path, '```x' || chr(10) || content || '```' AS content FROM files) SELECT file_path, md5(regexp_extract(content, '(?s)```[^\\n]*\\n(.*?)```', 1)) AS digest FROM b"""
+)
+def code_blocks(spark, sf_dir):
+    fenced = files(spark, sf_dir).withColumn("content", F.concat(F.lit("```x\n"), "content", F.lit("```")))
+    return engine.code_blocks(fenced).select("file_path", F.md5("code").alias("digest"))
+
+
+def _search(spark, sf_dir):
+    """search(text, n) over line chunks: occurrences of the text's words."""
+    from seine.queries.text import chunks
+
+    own = chunks(spark, sf_dir)
+
+    def search(text, n):
+        score = sum((X.occurrences(F.col("content"), w) for w in text.split()), F.lit(0)).cast("double")
+        found = own.withColumn("score", score).where("score > 0").select(*engine.COLUMNS, "score")
+        return found.orderBy(F.desc("score"), "file_path", "line_start").limit(n)
+
+    return search
+
+
+@query()
+def deep_search(spark, sf_dir):
+    return engine.deep("theand of tion", _search(spark, sf_dir), 10).select("chunk_id", "score")
+
+
+@query()
+def explore_search(spark, sf_dir):
+    from seine.queries.ranking import edges
+    from seine.queries.text import chunks
+
+    own = edges(spark, sf_dir)
+    ranks = own.groupBy(F.col("dst").alias("node")).agg((F.count("*") / 10).alias("rank"))
+    hits = _search(spark, sf_dir)("theand of", 12)
+    return engine.explore(hits, chunks(spark, sf_dir), ranks, own, 10).select("chunk_id", "score")
+
+
+@query()
+def find_similar(spark, sf_dir):
+    """Chunks like the first chunk of one file, itself left out."""
+    search = _search(spark, sf_dir)
+    one = files(spark, sf_dir).where("doc_id = 2").select("content").first()[0]
+    return search(engine.similar_query(one), 11).where(~F.col("file_path").endswith("/doc_2.txt")).select("chunk_id", "score")
+
+
+@query()
+def obsidian_notes(spark, sf_dir):
+    from seine.operators import assemble
+
+    own = code.import_edges(repo(spark))
+    return assemble.notes(graph.pagerank(own), own)
+
+
+@query()
+def code_chunks(spark, sf_dir):
+    """Line ranges of each file of the tree, cut at its definitions."""
+    small = 60
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                language = {"rs": "rust", "py": "python", "ts": "typescript", "go": "go"}.get(path.rsplit(".", 1)[-1], "")
+                spans = [(s[2], s[3]) for s in code.symbols_of(text, language)]
+                out += [(path, a, b) for a, b in docs.code_chunks(text, spans, small // 4, small)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["file_path", "line_start", "line_end"]) if out else batch.slice(0, 0)
+
+    return repo(spark).mapInArrow(run, "file_path string, line_start long, line_end long")

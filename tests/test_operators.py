@@ -121,8 +121,14 @@ def test_pagerank_against_numpy(spark):
     r = np.full(len(names), 1 / len(names))
     for _ in range(20):
         r = 0.15 / len(names) + 0.85 * (m / np.maximum(out, 1) @ r + r[out == 0].sum() / len(names))
-    got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), tolerance=0.0).collect()}
-    assert np.allclose([got[n] for n in names], r / r.max(), atol=1e-9)
+    seeds = spark.createDataFrame([(names[0], 1.0), (names[3], 3.0), ("nowhere", 9.0)], "node string, weight double")
+    both = []
+    for limit in (0, 1000):  # distributed, and in one task
+        got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), tolerance=0.0, one_task=limit).collect()}
+        assert np.allclose([got[n] for n in names], r / r.max(), atol=1e-9)
+        own = graph.pagerank(edges_of(spark, pairs), seeds, rounds=5, tolerance=0.0, one_task=limit).collect()
+        both.append([x["rank"] for x in sorted(own, key=lambda x: x["node"])])
+    assert np.allclose(*both, atol=1e-9)
 
 
 def test_louvain_finds_two_cliques(spark):
@@ -248,3 +254,45 @@ def test_streams(spark, tmp_path):
     changes = feed.select("file_path", F.col("kind").alias("change"), "seq")
     feeds.upsert_into(changes, lambda df: seen.extend(values(df, "file_path", "change")), str(tmp_path / "c3")).awaitTermination()
     assert seen == [("a", "write"), ("b", "read"), ("z", "read")]
+
+
+def test_engine_parts(spark):
+    from seine.operators import engine
+
+    log = spark.createDataFrame([("CHANGELOG.md", "# Log\n\n## 1.2.0\n- a\n\n## [0.9.1-rc1] x\n- b\n"), ("other.md", "## 1.0")], "file_path string, content string")
+    assert values(engine.changelog_sections(log), "version", "content") == [("0.9.1-rc1", "## [0.9.1-rc1] x\n- b"), ("1.2.0", "## 1.2.0\n- a")]
+    sign = spark.createDataFrame([("fn f(a: Config, b: Vec<Item>) -> Result<Out, Err>",)], "s string")
+    row = sign.select(*engine.signature_types(F.col("s"))).first()
+    assert row[0] == ["Config", "Vec", "Item"] and row[1] == ["Result", "Out", "Err"]
+    rows = [("1", "a.h", 0, 1, "", 1.0), ("2", "a.c", 0, 1, "fn x", 1.0), ("3", "b.h", 0, 1, "", 1.0), ("4", "_external/gh/i.md", 0, 1, "", 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert values(engine.demote_headers(df), "chunk_id", "score") == [("1", 0.6), ("2", 1.0), ("3", 0.85), ("4", 1.0)]
+    assert values(engine.filter_docs(df, "docs"), "chunk_id") == [("4",)] == values(engine.filter_source(df, "gh"), "chunk_id")
+    assert engine.filter_source(df, "internal").count() == 3 and values(engine.filter_kind(df, "function"), "chunk_id") == [("2",)]
+    assert values(engine.rerank("fn y", df), "chunk_id", "score")[1] == ("2", 0.5)
+    tree = spark.createDataFrame([("Cargo.toml",), ("web/package.json",), ("x/y.rs",)], "file_path string")
+    assert values(engine.discover_projects(tree), "root", "kind") == [("", "cargo"), ("web", "npm")]
+
+
+def test_progressive(spark):
+    from seine.operators import engine
+
+    df = spark.createDataFrame(RESULTS, SCHEMA)
+    steps = dict(engine.progressive("t config", lambda q, n: df, 3))
+    assert list(steps) == ["bm25", "fused", "reranked"] and steps["fused"].count() == 3 == steps["reranked"].count()
+
+
+def test_rename_and_tests(spark):
+    rows = [("a.rs", "foo(foo_bar) foo"), ("b.rs", "bar"), ("c.rs", "foo bar")]
+    own = spark.createDataFrame(rows, "file_path string, content string")
+    table = spark.createDataFrame([("bar", "b.rs"), ("bar", "a.rs")], "name string, file_path string")
+    assert values(symbols.rename_hazards(own, table, "foo", "bar"), "file_path", "occurrences", "hazard") == [("a.rs", 2, "collision"), ("c.rs", 1, "shadowing")]
+    assert values(symbols.rename(own, "foo", "x"), "content")[2] == ("x(foo_bar) x",)
+
+
+def test_concept_and_session_boost_caps(spark):
+    df = spark.createDataFrame(RESULTS[:1], SCHEMA)
+    clusters = spark.createDataFrame([("t", "a", "c", 100.0)], "term string, file_path string, cluster string, score double")
+    assert rank.concept_boost(df, clusters, ["t"]).first()["score"] == 25.0
+    boosts = spark.createDataFrame([("a", 0.25)], "file_path string, boost double")
+    assert rank.session_boost(df, boosts, boosts).first()["score"] == pytest.approx(13.0)
