@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from seine.llm.tables import rows, texts
 from seine.store import durable
 
-#: Words that a worker remembers the ids of, and the longest that it remembers.
-REMEMBERED, LONGEST = 250_000, 40
+#: Words of each of two generations that a worker remembers the ids of, and the longest that it remembers.
+REMEMBERED, LONGEST = 200_000, 40
 _SIMPLE = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
@@ -61,30 +61,37 @@ class WordIds:
         self.model = self.encoder.model
         self.plain = re.compile(rf"([{_SIMPLE}{_SIMPLE.upper().replace('SS', '')}]*)([-.,;:!?()|#$%&*+=/_]*)")
         self.letters = _byte_letters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.encoder.get_vocab_size())]
         self.parts: dict[str, bytes] = {"": b""}
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the generation before; words still in use move on
 
     def _part(self, part: str) -> bytes:
         seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        packed = self.packed
+        ids = b"".join([packed[t.id] for t in self.model.tokenize(seen)])
         self.parts[part] = ids
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.known, self.parts = {}, {"": b""}
-        plain, parts = self.plain.fullmatch, self.parts
-        known = self.known
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {"": b""}
+        plain, parts, known, before, packed = self.plain.fullmatch, self.parts, self.known, self.before, self.packed
         for w in [w for w in words if w not in known]:
-            word = w.decode()
-            m = plain(word)
-            if m:
-                a, b = m.groups()
-                a = a.lower()
-                known[w] = (parts[a] if a in parts else self._part(a)) + (parts[b] if b in parts else self._part(b))
-            else:
-                ids = self.encoder.encode(word, add_special_tokens=False).ids
-                known[w] = b"".join([i.to_bytes(4, "little") for i in ids])
+            ids = before.get(w)
+            if ids is None:
+                if w.isalpha():  # ASCII letters only
+                    a, b = w.lower().decode(), ""
+                else:
+                    m = plain(w.decode())
+                    a, b = (m[1].lower(), m[2]) if m else (None, "")
+                if a is None:
+                    ids = b"".join([packed[i] for i in self.encoder.encode(w.decode(), add_special_tokens=False).ids])
+                else:
+                    ids = (parts[a] if a in parts else self._part(a)) + (parts[b] if b in parts else self._part(b))
+            known[w] = ids
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
