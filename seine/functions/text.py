@@ -120,7 +120,7 @@ def orphan_test(path: Column) -> Column:
 
 def entry_point(path: Column) -> Column:
     name = basename(path)
-    return name.isin("main.rs", "lib.rs", "mod.rs", "main.py", "__init__.py", "__main__.py", "index.ts", "index.js", "main.go", "setup.py", "build.rs") | name.rlike(
+    return name.isin("__init__.py", "__main__.py", "build.rs", "index.js", "index.ts", "lib.rs", "main.go", "main.py", "main.rs", "mod.rs", "setup.py") | name.rlike(
         r"^main[._]"
     ) | path.rlike(r"(^|/)(bin|scripts|examples|benches)/")
 

@@ -14,7 +14,7 @@ from seine.plans import rewrite
 COLUMNS = ("chunk_id", "file_path", "line_start", "line_end", "content")
 
 
-# --- parts of documents and code -------------------------------------------------------
+# Parts of documents and code.
 
 
 def symbol_source(files: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pdf_pages(texts: DataFrame) -> DataFrame:
 
 def code_blocks(files: DataFrame) -> DataFrame:
     """(file_path, block, code): text between fences."""
-    found = F.regexp_extract_all("content", F.lit("(?s)```[^\n]*\n(.*?)```"), F.lit(1))
+    found = F.regexp_extract_all("content", F.lit("(?s)`{3}[^\n]*\n(.*?)`{3}"), F.lit(1))
     return files.select("file_path", F.posexplode(found).alias("block", "code"))
 
 
@@ -62,7 +62,7 @@ def type_relations(symbols: DataFrame) -> DataFrame:
     return symbols.select("name", F.explode(each).alias("r")).select("name", "r.*").where("target <> ''").distinct()
 
 
-# --- filters over results ----------------------------------------------------------------
+# Filters over results.
 
 DOC_LANGUAGES = ("markdown", "html", "rst", "asciidoc", "plaintext")
 
@@ -99,7 +99,7 @@ def demote_headers(results: DataFrame) -> DataFrame:
     return marked.join(twin, "_stem", "left").withColumn("score", F.col("score") * factor).drop("_stem", "_any", "_twin")
 
 
-# --- searches ----------------------------------------------------------------------------
+# Searches.
 
 
 def rerank(query: str, results: DataFrame, scorer=None) -> DataFrame:
@@ -203,7 +203,7 @@ def feature_hub(core: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFram
     return every.groupBy("file_path").agg(F.min("r").alias("r")).select("file_path", "r.role")
 
 
-# --- outside documents and changes -----------------------------------------------------------
+# Outside documents and changes.
 
 
 def import_external(current: DataFrame, issues: DataFrame, source: str) -> DataFrame:

@@ -91,8 +91,8 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 8) -> DataFrame:
     return seen
 
 
-#: Edges up to which PageRank runs in one task (some 10 MB there).
-ONE_TASK = 200_000
+#: Edges up to which PageRank runs in one task (some 150 MB there).
+ONE_TASK = 1_000_000
 
 
 def _pagerank_in_task(own: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, tolerance: float, relative: bool) -> DataFrame:

@@ -7,22 +7,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seine.operators.components import connected_components
 from seine.functions import text as X
+from seine.operators.components import connected_components
 
 #: Queries that travel to every task: at 64 floats each, 10,000 are 5 MB.
 MOST_QUERIES = 10_000
 
 
+def _stated(queries: DataFrame) -> list:
+    rows = queries.select("vec_id", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: call in parts")
+    return rows
+
+
 def top_k(base: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best by cosine for each query, from (vec_id, vector) tables.
 
     `queries` is a stated set of at most MOST_QUERIES rows (checked): it goes to every task,
     which keeps k rows a query of each block; only those are shuffled.
     """
-    rows = queries.select("vec_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: call in parts")
+    rows = _stated(queries)
     ids = np.array([r[0] for r in rows], np.int64)
     if not len(ids):
         return base.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
@@ -79,6 +84,26 @@ def product_codes(base: DataFrame, parts: int = 8, centroids: int = 16, rounds:
     return base.select("vec_id", "vector").mapInArrow(run, "vec_id long, code binary"), book
 
 
+def quantized_top_k(codes: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, far, rank): the k nearest by summed table distances over all codes, for a stated query set."""
+    asked = _stated(queries)
+    parts, _, width = book.shape
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            code = np.array([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]).reshape(-1, parts)
+            for r in asked:
+                table = ((np.array(r["vector"], float).reshape(parts, 1, width) - book) ** 2).sum(2)
+                far = table[np.arange(parts), code].sum(1)
+                best = np.lexsort((ids, far))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["vec_id"])), pa.array(ids[best]), pa.array(far[best])], ["query_id", "vec_id", "far"])
+
+    found = codes.mapInArrow(run, "query_id long, vec_id long, far double")
+    w = Window.partitionBy("query_id").orderBy("far", "vec_id")
+    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+
 def sign_bucket_merge(base: DataFrame, dimensions: int = 12, least: float = 0.82) -> DataFrame:
     """(vec_id, cluster): vectors of one sign bucket whose cosine reaches `least`, joined transitively; cluster is the least vec_id.
 

@@ -137,7 +137,7 @@ def token_savings(spark, sf_dir):
     return per.groupBy("doc_id").agg(F.sum("count").alias("tokens"), F.count("*").alias("vocabulary"))
 
 
-# --- compositions ------------------------------------------------------------------------
+# Compositions.
 
 
 @query()

@@ -9,7 +9,7 @@ from seine.queries import query
 from seine.store import read_table
 
 EDGES = """edges AS (
-SELECT DISTINCT 's/' || l_suppkey AS src, 'p/' || l_partkey AS dst, 'Calls' AS kind FROM lineitem WHERE l_suppkey % 5 = 0 AND l_partkey % 7 = 0
+SELECT DISTINCT 's/' || l_suppkey AS src, 'p/' || l_partkey AS dst, 'Calls' AS kind FROM lineitem
 UNION ALL SELECT 'p/' || p_partkey, 'b/' || p_brand, 'Resolved' FROM part
 UNION ALL SELECT 'b/' || p_brand, 's/' || min(s_suppkey), 'DocumentedBy' FROM part, supplier GROUP BY p_brand
 UNION ALL SELECT 's/' || s_suppkey, 'n/' || s_nationkey, 'Resolved' FROM supplier
@@ -24,7 +24,7 @@ def edges(spark, sf_dir):
     pair = lambda df, a, b, k: df.select(a.alias("src"), b.alias("dst"), F.lit(k).alias("kind"))
     j = lambda p, c: F.concat(F.lit(p), s(c))
     first = t["supplier"].agg(F.min("s_suppkey").alias("s_suppkey"))
-    used = t["lineitem"].where("l_suppkey % 5 = 0 and l_partkey % 7 = 0").select("l_suppkey", "l_partkey").distinct()
+    used = t["lineitem"].select("l_suppkey", "l_partkey").distinct()
     brands = t["part"].select("p_brand").distinct().join(F.broadcast(first), F.lit(True))
     parts = [
         pair(used, j("s/", "l_suppkey"), j("p/", "l_partkey"), "Calls"),

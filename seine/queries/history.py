@@ -62,16 +62,17 @@ def orphan_files(spark, sf_dir):
     return history.orphans(files(spark, sf_dir), doc_edges(spark, sf_dir), usage)
 
 
-_NOW = "now AS (SELECT doc_id AS file_path, n_chars AS size, doc_id % 7 AS mtime, md5(text) AS hash FROM documents WHERE doc_id % 11 <> 0), old AS (SELECT doc_id AS file_path, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size, doc_id % 7 + CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS mtime, md5(text || CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE '' END) AS hash FROM documents WHERE doc_id % 13 <> 0)"
+#: Two snapshots of the documents: in between, German files went, Spanish ones came, and some sources were changed or touched.
+_NOW = "now AS (SELECT doc_id AS file_path, n_chars AS size, length(source) AS mtime, md5(text) AS hash FROM documents WHERE lang <> 'es'), old AS (SELECT doc_id AS file_path, n_chars + CASE WHEN source = 'src5' THEN 1 ELSE 0 END AS size, length(source) + CASE WHEN source IN ('src6', 'src7') THEN 1 ELSE 0 END AS mtime, md5(text || CASE WHEN source = 'src7' THEN 'x' ELSE '' END) AS hash FROM documents WHERE lang <> 'de')"
 
 
 def _snapshots(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    i, text = F.col("doc_id"), F.col("text")
-    now = d.where("doc_id % 11 <> 0").select(i.alias("file_path"), F.col("n_chars").alias("size"), (i % 7).alias("mtime"), F.md5("text").alias("hash"))
-    old = d.where("doc_id % 13 <> 0").select(
-        i.alias("file_path"), (F.col("n_chars") + F.when(i % 5 == 0, 1).otherwise(0)).alias("size"), (i % 7 + F.when(i % 6 == 0, 1).otherwise(0)).alias("mtime"),
-        F.md5(F.concat(text, F.when(i % 10 == 0, "x").otherwise(""))).alias("hash"),
+    source = F.col("source")
+    now = d.where("lang <> 'es'").select(F.col("doc_id").alias("file_path"), F.col("n_chars").alias("size"), F.char_length(source).cast("long").alias("mtime"), F.md5("text").alias("hash"))
+    old = d.where("lang <> 'de'").select(
+        F.col("doc_id").alias("file_path"), (F.col("n_chars") + F.when(source == "src5", 1).otherwise(0)).alias("size"),
+        (F.char_length(source) + F.when(source.isin("src6", "src7"), 1).otherwise(0)).cast("long").alias("mtime"), F.md5(F.concat("text", F.when(source == "src7", "x").otherwise(""))).alias("hash"),
     )
     return now, old
 
@@ -144,7 +145,7 @@ def watch_debounce(spark, sf_dir):
 def memory_store(spark, sf_dir):
     """Keyed upserts of two halves, then recall by word."""
     rows = events(spark, sf_dir).select(F.col("file_path").alias("key"), F.col("kind").alias("value"), F.array(F.lit("t")).alias("tags"), "ts", "seq")
-    store = history.upsert_memory(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"))
+    store = history.upsert_memory(rows.where("value = 'read'"), rows.where("value <> 'read'"))
     return history.recall_memory(store, "EA", ["t"]).select("key", "value")
 
 
@@ -180,11 +181,11 @@ def outline(spark, sf_dir):
     return symbols.outline(syms(spark, sf_dir), "src/Brand#11.rs").select("name", "kind", "line", "position")
 
 
-@query(f"WITH {SY} SELECT * FROM sy WHERE line % 3 <> 0 UNION ALL SELECT name, kind, 'new/' || file_path, line, visibility FROM sy WHERE line % 6 = 0")
+@query(f"WITH {SY} SELECT * FROM sy WHERE kind <> 'import' UNION ALL SELECT name, kind, 'new/' || file_path, line, visibility FROM sy WHERE kind = 'import' AND visibility = 'private'")
 def symbol_overlay(spark, sf_dir):
     own = syms(spark, sf_dir)
-    gone = own.where("line % 3 = 0").select("file_path", "line")
-    new = own.where("line % 6 = 0").withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
+    gone = own.where("kind = 'import'").select("file_path", "line")
+    new = own.where("kind = 'import' and visibility = 'private'").withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
     return symbols.overlay(own, gone, new, ["file_path", "line"])
 
 

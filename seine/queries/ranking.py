@@ -169,13 +169,13 @@ def concept_boost(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RES}, a AS (SELECT file_path, (doc_id % 4) / 10.0 AS x FROM files WHERE doc_id % 2 = 0), s AS (SELECT file_path, (doc_id % 3) / 2.0 AS y FROM files WHERE doc_id % 5 <> 0)
+    f"""WITH {RES}, a AS (SELECT file_path, (doc_id % 4) / 10.0 AS x FROM files WHERE lang = 'en'), s AS (SELECT file_path, (doc_id % 3) / 2.0 AS y FROM files WHERE source <> 'src0')
 SELECT chunk_id, round(score * (1 + least(0.3, coalesce(x, 0) + 0.2 * coalesce(y, 0))), 6) AS score FROM res LEFT JOIN a USING (file_path) LEFT JOIN s USING (file_path)"""
 )
 def session_boost(spark, sf_dir):
     own = files(spark, sf_dir)
-    agent = own.where("doc_id % 2 = 0").select("file_path", (F.col("doc_id") % 4 / 10).alias("boost"))
-    shared = own.where("doc_id % 5 <> 0").select("file_path", (F.col("doc_id") % 3 / 2).alias("boost"))
+    agent = own.where("lang = 'en'").select("file_path", (F.col("doc_id") % 4 / 10).alias("boost"))
+    shared = own.where("source <> 'src0'").select("file_path", (F.col("doc_id") % 3 / 2).alias("boost"))
     return _out(rank.session_boost(results(spark, sf_dir), agent, shared))
 
 

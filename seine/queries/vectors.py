@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
@@ -71,26 +70,7 @@ def quantized_search(spark, sf_dir):
     """Ten nearest by table sums over codes, for each vector divisible by 50."""
     own = base(spark, sf_dir)
     codes, book = vectors.product_codes(own)
-    asked = own.where("vec_id % 50 = 0").limit(vectors.MOST_QUERIES).collect()
-    parts, _, width = book.shape
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            code = np.array([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]).reshape(-1, parts)
-            for r in asked:
-                table = ((np.array(r["vector"], float).reshape(parts, 1, width) - book) ** 2).sum(2)
-                far = table[np.arange(parts), code].sum(1)
-                best = np.lexsort((ids, far))[:10]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["vec_id"])), pa.array(ids[best]), pa.array(far[best])], ["query_id", "vec_id", "far"])
-
-    from pyspark.sql import Window
-
-    found = codes.mapInArrow(run, "query_id long, vec_id long, far double")
-    w = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where("rank < 10").select("query_id", "vec_id", "rank")
+    return vectors.quantized_top_k(codes, book, own.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
 @query()

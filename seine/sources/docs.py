@@ -64,8 +64,9 @@ def rst(text: str):
 
 def asciidoc(text: str):
     out = [[0, "", []]]
-    for line in text.split("\n"):
-        m = re.match(r"(={1,6})\s+(\S.*)", line)
+    title = re.compile(r"(={1,6})\s+(\S.*)")
+    for line in text.splitlines():
+        m = title.match(line)
         if m:
             out.append([len(m[1]), m[2].strip(), []])
         else:

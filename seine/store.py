@@ -67,5 +67,10 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that `durable` has written in this application; results not yet read are lost."""
+    _delete(spark, _app_folder(spark))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
