@@ -95,9 +95,10 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 8) -> DataFrame:
 ONE_TASK = 1_000_000
 
 
-def _pagerank_in_task(own: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, tolerance: float, relative: bool) -> DataFrame:
+def _pagerank_in_task(own: DataFrame, names: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, tolerance: float, relative: bool) -> DataFrame:
     """PageRank of at most ONE_TASK edges as a fold of one group; the same steps as the distributed form."""
-    pairs = own.select("src", "dst", F.lit(None).cast("double").alias("weight"))
+    none = F.lit(None).cast("double").alias("weight")
+    pairs = own.select("src", "dst", none).unionByName(names.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), none))
     if seeds is not None:
         pairs = pairs.unionByName(seeds.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
 
@@ -105,9 +106,10 @@ def _pagerank_in_task(own: DataFrame, seeds: DataFrame | None, damping: float, r
         import numpy as np
         import pandas as pd
 
-        links, asked = pdf[pdf["dst"].notna()], pdf[pdf["dst"].isna()]
-        names, at = np.unique(np.concatenate([links["src"].to_numpy(str), links["dst"].to_numpy(str)]), return_inverse=True)
-        a, b, n = at[: len(links)], at[len(links) :], len(names)
+        links, asked = pdf[pdf["dst"].notna()], pdf[pdf["weight"].notna()]
+        every = pdf[pdf["dst"].isna() & pdf["weight"].isna()]
+        names, at = np.unique(np.concatenate([links["src"], links["dst"], every["src"]]).astype(str), return_inverse=True)
+        a, b, n = at[: len(links)], at[len(links) : 2 * len(links)], len(names)
         out = np.bincount(a, minlength=n)
         jump = np.zeros(n)
         place = {v: i for i, v in enumerate(names)}
@@ -135,9 +137,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     is the global one.  Graphs of at most `one_task` edges (counted) run in one task.
     """
     own = durable(real(edges), "edges")
-    if own.count() <= one_task:
-        return _pagerank_in_task(own, seeds, damping, rounds, tolerance, relative)
     names = nodes_of(edges).where(~is_external(F.col("node")))
+    if own.count() <= one_task:
+        return _pagerank_in_task(own, names, seeds, damping, rounds, tolerance, relative)
     out = own.groupBy("src").agg(F.count("*").alias("out"))
     links = durable(own.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
     base = names.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"))

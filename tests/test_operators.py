@@ -126,6 +126,8 @@ def test_pagerank_against_numpy(spark):
     for limit in (0, 1000):  # distributed, and in one task
         got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), tolerance=0.0, one_task=limit).collect()}
         assert np.allclose([got[n] for n in names], r / r.max(), atol=1e-9)
+        alone = edges_of(spark, [("a", "b"), ("c", "__ext__:x")])  # c has no real edge, yet is a node
+        assert values(graph.pagerank(alone, one_task=limit), "node") == [("a",), ("b",), ("c",)]
         own = graph.pagerank(edges_of(spark, pairs), seeds, rounds=5, tolerance=0.0, one_task=limit).collect()
         both.append([x["rank"] for x in sorted(own, key=lambda x: x["node"])])
     assert np.allclose(*both, atol=1e-9)
