@@ -132,16 +132,26 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     steps = [i / parts for i in range(1, parts)]
     found = own.approxQuantile("at", steps, 0.2 / parts) if steps else []
     bounds = sorted({min(int(b), (1 << 63) - 1) for b in found})
-    part = F.lit(0)
-    if bounds:  # the number of bounds below: log(parts) comparisons a row, not parts
-        part = _below(F.col("at"), bounds)
-    dealt = own.withColumn("part", part)
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(at):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(edges, at.to_numpy(), side="right"))
+
+    dealt = own.withColumn("part", part_of("at"))
     held = {r["part"]: r["at"] for r in dealt.groupBy("part").agg(F.min("at").alias("at")).collect()}  # a row a range
     used = sorted(held)
-    before = dict(zip(used, [used[-1], *used[:-1]])) if used else {0: 0}
+    before = dict(zip(used, [used[-1], *used[:-1]])) if used else {}
+
+    @F.pandas_udf("int")
+    def part_before(part):
+        return part.map(before)
+
     first = dealt.where(F.col("at").isin(sorted(held.values()))).groupBy("part", "at").agg(F.min("text").alias("text"))
     ghosts = first.select(
-        F.create_map(*[F.lit(x) for p in before.items() for x in p])[F.col("part")].alias("part"),
+        part_before("part").alias("part"),
         "at",
         F.lit(None).cast("long").alias("doc_id"),
         "text",
@@ -155,15 +165,6 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
 
-def _below(value, bounds: list[int]):
-    """How many of the sorted bounds are at most `value`, as a balanced tree of comparisons."""
-    if len(bounds) == 1:
-        return F.when(value >= bounds[0], 1).otherwise(0)
-    mid = len(bounds) // 2
-    high = _below(value, bounds[mid + 1 :]) if mid + 1 < len(bounds) else F.lit(0)
-    return F.when(value >= bounds[mid], high + (mid + 1)).otherwise(_below(value, bounds[:mid]))
-
-
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64())]
     + [(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]
