@@ -66,6 +66,10 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # the generation before; words still in use move on
 
+    def forget(self) -> None:
+        """Give the words' memory back; the tokenizer stays."""
+        self.known, self.before, self.parts = {}, {}, {"": b""}
+
     def _part(self, part: str) -> bytes:
         seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
         packed = self.packed
@@ -108,7 +112,7 @@ class WordIds:
 
 @lru_cache(1)
 def _word_ids(tokenizer: str) -> WordIds:
-    """One a worker process, with what it remembers, for all its tasks."""
+    """One tokenizer a worker process; its words are those of one task."""
     return WordIds(tokenizer)
 
 
@@ -135,6 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
                         for n, v in zip(out, (doc_id, k, a // 4, len(own) // 4, zlib.crc32(own))):
                             out[n].append(v)
                 yield rows(_PIECE_ARROW, out)
+        ids_of.forget()  # a worker that waits, or serves other stages, keeps no words
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE)
 

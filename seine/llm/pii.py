@@ -31,7 +31,7 @@ from seine.store import durable
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may give it away, and words counted before they are sent.
-NEAR, COUNTED = 8, 400_000
+NEAR, COUNTED = 8, 150_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -289,9 +289,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     on = (F.col("_seine_th") == F.col("_seine_t_th")) & F.col("_seine_id").eqNullSafe(F.col("_seine_t_id"))
     joined = keyed.join(terms.hint("shuffle_hash"), on, "left")
 
-    @F.pandas_udf("string")
+    @F.arrow_udf("string")
     def clean(text, found):
-        return text.combine(found, lambda t, x: None if t is None else redact(t, None if x is None else list(x)))
+        return pa.array([None if t is None else redact(t, x) for t, x in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
     new = clean(F.col(text_col).cast("string"), F.col("_seine_terms"))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -229,8 +229,8 @@ def keep_good(docs: DataFrame, least: float = 0.5, sample: int = 6000, text_col:
     model = train(texts(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), sample)
     weights = model["weights"]
 
-    @F.pandas_udf("boolean")
+    @F.arrow_udf("boolean")
     def good(lines):
-        return lines.map(lambda t: score(t or "", weights) >= least)
+        return pa.array([score(t or "", weights) >= least for t in lines.to_pylist()], pa.bool_())
 
     return docs.where(good(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
