@@ -5,12 +5,13 @@ give them away: over the whole corpus, the information that t carries about c is
 PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) in documents, and the entity's own information is
 IC(c) = log2(N / n(c)).  What stays hidden once t is read is IC - PMI = -log2 P(c | t) bits.
 Terms that leave at most `remove_bits` are removed, those that leave at most
-`generalise_bits` are replaced by their class.  A pair counts only with `least_docs`
-documents and `least_contexts` different surroundings, so one text copied often is one
-piece of evidence.
+`generalise_bits` are replaced by their class.  P(c | t) is taken at the lower end of its
+one-sided 95 % Wilson interval, so few documents weigh less but none is left out: a term
+of one document leaves 1.9 bits.  n(c,t) counts different texts and n(t) documents, so
+copies of one text are no further evidence.
 
 Scale.  Mentions and counts travel as hashes.  Document frequencies are counted in the map
-task over all words before they are shuffled, and only terms of pairs with enough support
+task over all words before they are shuffled, and only terms of pairs
 are kept (Spark broadcasts that list if it is small, else both sides are shuffled).  Pairs
 are aggregated over distinct (entity, term, document), so a hot entity is combined early.
 """
@@ -23,7 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seine.llm.tables import rows, texts
@@ -32,6 +33,8 @@ from seine.store import durable
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that may give it away, and words counted before they are sent.
 NEAR, COUNTED = 8, 150_000
+#: Normal deviate of the Wilson bound, one-sided 95 %.
+Z = 1.645
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,7 +95,7 @@ def _signed(x: int) -> int:
 
 
 def _mentions(text: str, spans: list[tuple[int, int, int]], near: int) -> list[dict]:
-    """Words near each entity: hashes of entity, surroundings and term, and the term's place."""
+    """Words near each entity: hashes of entity and term, and the term's place."""
     from xxhash import xxh64_intdigest as h64
 
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -108,10 +111,9 @@ def _mentions(text: str, spans: list[tuple[int, int, int]], near: int) -> list[d
             if not any(s < y and x < e for x, _, y in spans_near(spans, s, e))
         ]
         terms = [(s, e, _term(text[s:e])) for s, e in own]
-        context = _signed(h64(" ".join(t for _, _, t in terms)))
         for s, e, t in terms:
             if t:
-                out.append({"entity": entity, "context": context, "term": _signed(h64(t)), "start": s, "end": e})
+                out.append({"entity": entity, "term": _signed(h64(t)), "start": s, "end": e})
     return out
 
 
@@ -131,7 +133,7 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-_MENTION = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_MENTION = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _BASE_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.int64())]
     + [(f"n_{k}", pa.int64()) for k in KINDS]
@@ -139,7 +141,7 @@ _BASE_ARROW = pa.schema(
 )
 _BASE = (
     "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "mentions array<struct<entity:long,context:long,term:long,start:int,end:int>>"
+    "mentions array<struct<entity:long,term:long,start:int,end:int>>"
 )
 
 
@@ -187,23 +189,22 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long")
 
 
-def disclosures(
-    own: DataFrame, mentions: DataFrame, remove_bits: float, generalise_bits: float, least_docs: int, least_contexts: int
-) -> DataFrame:
-    """(entity, term, action) for terms that give an entity away, from (entity, context, term, doc_id, th) rows."""
-    document = F.struct("doc_id", "th")
-    pairs = durable(
-        mentions.groupBy("entity", "term")
-        .agg(F.countDistinct(document).alias("together"), F.countDistinct("context").alias("contexts"))
-        .where((F.col("together") >= least_docs) & (F.col("contexts") >= least_contexts)),
-        "pii-pairs",
-    )
+def hidden_bits(together: Column, seen: Column) -> Column:
+    """-log2 of the lower Wilson bound of together / seen."""
+    n = F.greatest(seen, together).cast("double")
+    p = together / n
+    low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return -F.log2(low)
+
+
+def disclosures(own: DataFrame, mentions: DataFrame, remove_bits: float, generalise_bits: float) -> DataFrame:
+    """(entity, term, action) for terms that give an entity away, from (entity, term, doc_id, th) rows."""
+    pairs = durable(mentions.groupBy("entity", "term").agg(F.countDistinct("th").alias("together")), "pii-pairs")
     known = pairs.select("term").distinct()
     seen = term_counts(own).join(known, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("seen"))
-    hidden = F.log2(F.greatest(F.col("seen"), F.col("together")) / F.col("together"))  # IC - PMI
     return (
         pairs.join(seen, "term")
-        .withColumn("hidden", hidden)
+        .withColumn("hidden", hidden_bits(F.col("together"), F.col("seen")))
         .where(F.col("hidden") <= generalise_bits)
         .select("entity", "term", F.when(F.col("hidden") <= remove_bits, "removed").otherwise("generalised").alias("action"))
     )
@@ -214,13 +215,11 @@ def find(
     near: int = NEAR,
     remove_bits: float = 1.0,
     generalise_bits: float = 3.0,
-    least_docs: int = 3,
-    least_contexts: int = 3,
 ) -> DataFrame:
     """For every row of `docs` (doc_id, th, text): base columns and `terms`, the spans that the corpus discloses."""
     found = durable(base(docs, near), "pii")
     mentions = found.where(F.size("mentions") > 0).select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*")
-    told = disclosures(docs, mentions, remove_bits, generalise_bits, least_docs, least_contexts)
+    told = disclosures(docs, mentions, remove_bits, generalise_bits)
     terms = (
         mentions.join(told, ["entity", "term"])
         .groupBy("doc_id", "th", "start", "end")

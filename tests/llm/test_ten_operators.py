@@ -325,6 +325,16 @@ def test_pii_terms(spark):
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[90] == rows[-3][1] and "ask" in clean[0]
 
 
+def test_pii_terms_of_few_documents(spark, data):
+    rows = [(1, "ask Fenwick at fenwick@example.com or wait"), (2, "ask or wait at noon"), (3, "ask at or wait"), (4, "Ostrava and dora@example.com"), (5, "call dora@example.com in Ostrava")]
+    rows += [(10 + i, f"ask or wait at in and call {i}") for i in range(30)]
+    found = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == "term_generalised:4:11,email:15:34"
+    assert "term_generalised:0:7" in found[4] and "term_generalised:25:32" in found[5]
+    given = pii.report(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    assert any("term_" in r["spans"] for r in given)
+
+
 def test_pieces_equal_the_library(docs):
     from public_tokenizers import path
     from sentencepiece import SentencePieceProcessor
