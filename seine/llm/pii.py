@@ -1,19 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (e-mail, IP, card, phone) are the protected entities c.  Words t near them may
-give them away: over the whole corpus, the information that t carries about c is
-PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) in documents, and the entity's own information is
-IC(c) = log2(N / n(c)).  What stays hidden once t is read is IC - PMI = -log2 P(c | t) bits.
-Terms that leave at most `remove_bits` are removed, those that leave at most
-`generalise_bits` are replaced by their class.  P(c | t) is taken at the lower end of its
-one-sided 95 % Wilson interval, so few documents weigh less but none is left out: a term
-of one document leaves 1.9 bits.  n(c,t) counts different texts and n(t) documents, so
-copies of one text are no further evidence.
-
-Scale.  Mentions and counts travel as hashes.  Document frequencies are counted in the map
-task over all words before they are shuffled, and only terms of pairs
-are kept (Spark broadcasts that list if it is small, else both sides are shuffled).  Pairs
-are aggregated over distinct (entity, term, document), so a hot entity is combined early.
+Base spans (e-mail, IP, card, phone) are the protected entities c.  Words t of the same
+documents may give them away: over the whole corpus, the information that t carries about
+c is PMI(c; t) = log2(n(c,t) N / (n(c) n(t))) in documents, and the entity's own
+information is IC(c) = log2(N / n(c)).  What stays hidden once t is read is
+IC - PMI = -log2 P(c | t) bits.  Terms that leave at most `remove_bits` are removed, those
+that leave at most `generalise_bits` are replaced by their class.  P(c | t) is taken at the
+lower end of its one-sided 95 % Wilson interval, so few documents weigh less but none is
+left out: a term of one document leaves 1.9 bits.  n(c,t) counts different texts and n(t)
+documents, so copies of one text are no further evidence.  A disclosed term goes in the
+documents of its entity, or `everywhere`, where it discloses the entity without it.
+
+Scale.  Words travel as hashes.  Each text is counted once, and entities of exactly the same
+texts share one class, so a text pairs its terms with classes and not with entities.  Pairs
+are summed in the map task before they are shuffled, so a hot entity is combined early;
+document frequencies likewise, and only terms of pairs are kept.  Disclosed terms are found
+again in one pass over the text: a bitmap of fixed size (8 MB) passes the candidates, and a
+join settles them.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,8 @@ from seine.llm.tables import rows, texts
 from seine.store import durable
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity that may give it away, and words counted before they are sent.
-NEAR, COUNTED = 8, 150_000
+#: Words counted, and pairs and hits held, before they are sent; bits of the bitmap of terms.
+COUNTED, PAIRS, HITS, BITS = 150_000, 1_000_000, 100_000, 1 << 26
 #: Normal deviate of the Wilson bound, one-sided 95 %.
 Z = 1.645
 
@@ -94,27 +98,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mentions(text: str, spans: list[tuple[int, int, int]], near: int) -> list[dict]:
-    """Words near each entity: hashes of entity and term, and the term's place."""
+def _outside(text: str, spans: list[tuple[int, int, int]]):
+    """(start, end) of the words that overlap no span."""
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        if not any(s < y and x < e for x, _, y in spans_near(spans, s, e)):
+            yield s, e
+
+
+def _said(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Hashes of the entities of a text and of the different terms outside its spans."""
     from xxhash import xxh64_intdigest as h64
 
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in words])
-    out = []
+    entities = set()
     for a, kind, b in spans:
         value = text[a:b].lower() if kind < 2 else "".join(c for c in text[a:b] if c.isdigit())
-        entity = _signed(h64(f"{KINDS[kind]}:{value}"))
-        first = int(np.searchsorted(starts, a, side="right")) - 1
-        last = int(np.searchsorted(starts, b, side="left"))
-        own = [
-            (s, e) for s, e in words[max(0, first - near) : first] + words[last : last + near]
-            if not any(s < y and x < e for x, _, y in spans_near(spans, s, e))
-        ]
-        terms = [(s, e, _term(text[s:e])) for s, e in own]
-        for s, e, t in terms:
-            if t:
-                out.append({"entity": entity, "term": _signed(h64(t)), "start": s, "end": e})
-    return out
+        entities.add(_signed(h64(f"{KINDS[kind]}:{value}")))
+    terms = {_term(text[s:e]) for s, e in _outside(text, spans)}
+    return list(entities), [_signed(h64(t)) for t in terms if t]
 
 
 def spans_near(spans, start: int, end: int):
@@ -133,20 +134,19 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-_MENTION = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _BASE_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("th", pa.int64())]
     + [(f"n_{k}", pa.int64()) for k in KINDS]
-    + [("base_sha256", pa.string()), ("base", pa.string()), ("mentions", pa.list_(_MENTION))]
+    + [("base_sha256", pa.string()), ("base", pa.string()), ("entities", pa.list_(pa.int64())), ("own", pa.list_(pa.int64()))]
 )
 _BASE = (
     "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-    "mentions array<struct<entity:long,term:long,start:int,end:int>>"
+    "entities array<long>, own array<long>"
 )
 
 
-def base(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """Counts, digest and spans of the base patterns and the words near them, for each of (doc_id, th, text)."""
+def base(docs: DataFrame) -> DataFrame:
+    """Counts, digest and spans of the base patterns for each of (doc_id, th, text), and entities and terms where there are any."""
 
     def run(batches):
         for batch in batches:
@@ -157,8 +157,8 @@ def base(docs: DataFrame, near: int = NEAR) -> DataFrame:
                     said = _joined([(a, KINDS[k], b) for a, k, b in spans])
                     counts = [sum(k == i for _, k, _ in spans) for i in range(4)]
                     digest = hashlib.sha256(said.encode()).hexdigest()
-                    near_by = _mentions(text, spans, near) if spans else []
-                    for n, v in zip(out, (doc_id, th, *counts, digest, said, near_by)):
+                    entities, own = _said(text, spans) if spans else ([], [])
+                    for n, v in zip(out, (doc_id, th, *counts, digest, said, entities, own)):
                         out[n].append(v)
                 yield rows(_BASE_ARROW, out)
 
@@ -197,39 +197,132 @@ def hidden_bits(together: Column, seen: Column) -> Column:
     return -F.log2(low)
 
 
-def disclosures(own: DataFrame, mentions: DataFrame, remove_bits: float, generalise_bits: float) -> DataFrame:
-    """(entity, term, action) for terms that give an entity away, from (entity, term, doc_id, th) rows."""
-    pairs = durable(mentions.groupBy("entity", "term").agg(F.countDistinct("th").alias("together")), "pii-pairs")
+def _pairs(listed: DataFrame) -> DataFrame:
+    """(class, term, n): texts of each pair, from one row (classes, own) a text, in parts of one map task each."""
+
+    def sent(held):
+        both = np.concatenate(held)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)])
+        n = np.diff(np.r_[first, len(both)])
+        for at in range(0, len(first), 100_000):
+            part = both[first[at : at + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(n[at : at + 100_000])], ["class", "term", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for classes, own in zip(batch.column(0), batch.column(1)):
+                own = own.values.to_numpy()
+                for c in classes.values.to_numpy() if len(own) else ():
+                    held.append(np.stack([np.full(len(own), c), own], axis=1))
+                    size += len(own)
+                    if size > PAIRS:
+                        yield from sent(held)
+                        held, size = [], 0
+        if held:
+            yield from sent(held)
+
+    return listed.select("classes", "own").mapInArrow(run, "class long, term long, n long")
+
+
+def classes_of(said: DataFrame) -> DataFrame:
+    """(th, class) from one row (th, entities) a text: entities of exactly the same texts are one class."""
+    held = said.select("th", F.explode("entities").alias("entity"))
+    where = F.xxhash64(F.count("*"), F.bit_xor("th"), F.bit_xor(F.xxhash64("th"))).alias("class")
+    return held.join(durable(held.groupBy("entity").agg(where), "pii-entities"), "entity").select("th", "class").distinct()
+
+
+def disclosures(docs: DataFrame, said: DataFrame, classes: DataFrame, remove_bits: float, generalise_bits: float) -> DataFrame:
+    """(class, term, action) for terms that give an entity away, from (th, own) and (th, class) of the texts with entities."""
+    listed = said.join(classes.groupBy("th").agg(F.collect_list("class").alias("classes")), "th")
+    pairs = durable(_pairs(listed).groupBy("class", "term").agg(F.sum("n").alias("together")), "pii-pairs")
     known = pairs.select("term").distinct()
-    seen = term_counts(own).join(known, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("seen"))
+    seen = durable(term_counts(docs).join(known, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("seen")), "pii-seen")
     return (
         pairs.join(seen, "term")
         .withColumn("hidden", hidden_bits(F.col("together"), F.col("seen")))
         .where(F.col("hidden") <= generalise_bits)
-        .select("entity", "term", F.when(F.col("hidden") <= remove_bits, "removed").otherwise("generalised").alias("action"))
+        .select("class", "term", F.when(F.col("hidden") <= remove_bits, "removed").otherwise("generalised").alias("action"))
     )
 
 
-def find(
-    docs: DataFrame,
-    near: int = NEAR,
-    remove_bits: float = 1.0,
-    generalise_bits: float = 3.0,
-) -> DataFrame:
-    """For every row of `docs` (doc_id, th, text): base columns and `terms`, the spans that the corpus discloses."""
-    found = durable(base(docs, near), "pii")
-    mentions = found.where(F.size("mentions") > 0).select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*")
-    told = disclosures(docs, mentions, remove_bits, generalise_bits)
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """One bit for each term, in BITS: the driver sees at most BITS / 64 rows."""
+    word = F.shiftright(F.col("term").bitwiseAND(F.lit(BITS - 1)), 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(term & 63 as int))")
+    got = terms.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def hits(docs: DataFrame, bitmap: Broadcast, everywhere: bool) -> DataFrame:
+    """(doc_id, th, term, start, end) of every word outside base spans whose term may be in the bitmap."""
+    names = ["doc_id", "th", "term", "start", "end"]
+
+    def run(batches):
+        from xxhash import xxh64_intdigest as h64
+
+        known: dict = {}
+        bits = bitmap.value
+
+        def passes(word: bytes) -> bool:
+            t = _term(word.decode())
+            at = h64(t) & (BITS - 1)
+            known[word] = hit = bool(t) and bool(int(bits[at >> 6]) >> (at & 63) & 1)
+            return hit
+
+        out: list[list] = [[] for _ in names]
+
+        def sent():
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            part = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            for c in out:
+                c.clear()
+            return part
+
+        for batch in batches:
+            for doc_id, th, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(known) > COUNTED:
+                    known.clear()
+                told = {w.decode() for w in set(text.encode().split()) if (known[w] if w in known else passes(w))}
+                spans = base_spans(text) if told else []
+                if told and (spans or everywhere):
+                    for s, e in _outside(text, spans):
+                        if text[s:e] in told:
+                            for c, v in zip(out, (doc_id, th, _signed(h64(_term(text[s:e]))), s, e)):
+                                c.append(v)
+                            if len(out[0]) >= HITS:
+                                yield sent()
+        yield sent()
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, term long, start int, end int")
+
+
+def find(docs: DataFrame, remove_bits: float = 1.0, generalise_bits: float = 3.0, everywhere: bool = False) -> DataFrame:
+    """For every row of `docs` (doc_id, th, text): base columns and `terms`, the spans that the corpus discloses.
+
+    A disclosed term counts in the documents of its entity, or, if `everywhere`, in all.
+    """
+    found = durable(base(docs), "pii")
+    said = durable(found.where(F.size("entities") > 0).groupBy("th").agg(F.first("entities").alias("entities"), F.first("own").alias("own")), "pii-said")
+    classes = durable(classes_of(said), "pii-classes")
+    told = durable(disclosures(docs, said, classes, remove_bits, generalise_bits), "pii-told")
+    places = hits(docs, docs.sparkSession.sparkContext.broadcast(_bitmap(told)), everywhere)
+    if everywhere:
+        places = places.join(durable(told.groupBy("term").agg(F.max("action").alias("action")), "pii-terms"), "term")
+    else:
+        places = places.join(told, "term").join(classes, ["th", "class"], "left_semi")
     terms = (
-        mentions.join(told, ["entity", "term"])
-        .groupBy("doc_id", "th", "start", "end")
+        places.groupBy("doc_id", "th", "start", "end")
         .agg(F.max("action").alias("action"))  # removed, if any entity asks for it
         .groupBy("doc_id", "th")
         .agg(F.collect_list(F.struct("start", "action", "end")).alias("terms"))
         .select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), "terms")
     )
     on = (F.col("th") == F.col("t_th")) & F.col("doc_id").eqNullSafe(F.col("t_id"))
-    return found.drop("mentions").join(terms, on, "left").drop("t_id", "t_th")
+    return found.drop("entities", "own").join(terms, on, "left").drop("t_id", "t_th")
 
 
 def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

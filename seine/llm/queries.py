@@ -14,7 +14,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(read_table(spark, sf_dir, "documents"))
+    return pii.report(read_table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,6 +335,20 @@ def test_pii_terms_of_few_documents(spark, data):
     assert any("term_" in r["spans"] for r in given)
 
 
+def test_pii_terms_far_from_the_entity_and_without_it(spark):
+    rng = random.Random(7)
+    filler = lambda: " ".join(f"w{rng.randint(0, 40)}" for _ in range(12))
+    rows = [(i, f"Zebulon {filler()} ask bob@example.com {filler()}") for i in range(6)]
+    rows += [(10 + i, f"{filler()} ask {filler()}") for i in range(60)] + [(90, f"{filler()} Zebulon again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = rows[-1][1].index("Zebulon")
+    for everywhere in (False, True):
+        found = {r["doc_id"]: r["spans"] for r in pii.report(docs, everywhere=everywhere).collect()}
+        assert all(found[i].startswith("term_removed:0:7,") for i in range(6))
+        assert found[90] == (f"term_removed:{at}:{at + 7}" if everywhere else "")
+    assert not any("Zebulon" in r["text"] for r in pii.sanitise(docs, everywhere=True).collect())
+
+
 def test_pieces_equal_the_library(docs):
     from public_tokenizers import path
     from sentencepiece import SentencePieceProcessor
