@@ -66,6 +66,11 @@ def _emails(text: str):
             at = text.find("@", free)
 
 
+def _is_byte(digits: str) -> bool:
+    own = digits.lstrip("0")  # parts may have thousands of zeros in front
+    return len(own) < 4 and int(own or "0") < 256
+
+
 def _luhn(digits: str) -> bool:
     odd = [int(c) for c in digits[-1::-2]]
     even = [2 * int(c) for c in digits[-2::-2]]
@@ -77,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         # an IP match that begins later in a run of digits begins at the run too, and a match ends with its run
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_is_byte(x) for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -189,6 +194,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long")
 
 
+def once(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Each (doc_id, th) of `docs` once; `found` has the same keys without texts.
+
+    Only repeated rows are shuffled, unless Spark finds their keys too large to broadcast.
+    """
+    keys = [F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")]
+    twice = durable(found.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select(*keys), "pii-twice")
+    on = (F.col("th") == F.col("r_th")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
+    again = docs.join(twice, on, "left_semi").dropDuplicates(["doc_id", "th"])
+    return docs.join(twice, on, "left_anti").unionByName(again)
+
+
 def hidden_bits(together: Column, seen: Column) -> Column:
     """-log2 of the lower Wilson bound of together / seen."""
     n = F.greatest(seen, together).cast("double")
@@ -308,7 +325,7 @@ def find(docs: DataFrame, remove_bits: float = 1.0, generalise_bits: float = 3.0
     found = durable(base(docs), "pii")
     said = durable(found.where(F.size("entities") > 0).groupBy("th").agg(F.first("entities").alias("entities"), F.first("own").alias("own")), "pii-said")
     classes = durable(classes_of(said), "pii-classes")
-    told = durable(disclosures(docs, said, classes, remove_bits, generalise_bits), "pii-told")
+    told = durable(disclosures(once(docs, found), said, classes, remove_bits, generalise_bits), "pii-told")
     places = hits(docs, docs.sparkSession.sparkContext.broadcast(_bitmap(told)), everywhere)
     if everywhere:
         places = places.join(durable(told.groupBy("term").agg(F.max("action").alias("action")), "pii-terms"), "term")
@@ -333,8 +350,9 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of `docs`.
 
     spans holds the base spans and, as term_removed or term_generalised, the disclosed
-    terms.  A null text has none.  Repeated rows are one document as evidence and each
-    come back.
+    terms.  A null text has none.  Repeated rows (doc_id and text) are one document as
+    evidence and each come back, rows without doc_id too; two texts of one doc_id are two.
+    Other columns are not read.  An empty table gives an empty result.
     """
     found = find(_keyed(docs), **options)
     split = F.transform(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ",")), lambda s: F.split(s, ":"))
@@ -366,7 +384,12 @@ def redact(text: str, terms: list | None) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows and columns of `docs` with `text_col` redacted; null texts stay null."""
+    """The rows and columns of `docs` with `text_col` redacted.
+
+    Null texts stay null and empty ones empty.  Repeated rows are one document as evidence
+    and are redacted alike; rows without doc_id are treated like others.  Columns of any
+    other names come back as they are.  An empty table gives an empty one.
+    """
     keyed = docs.select(
         "*",
         F.col(id_col).cast("long").alias("_seine_id"),

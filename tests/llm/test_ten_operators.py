@@ -335,6 +335,58 @@ def test_pii_terms_of_few_documents(spark, data):
     assert any("term_" in r["spans"] for r in given)
 
 
+def test_pii_long_parts_and_repeated_rows(spark):
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)] and not pii.base_spans("9" * 5000 + ".1.1.1")
+    rows = [(1, "ask Fenwick at fenwick@example.com or wait"), (2, "ask or wait at noon"), (3, "ask at or wait"), (None, "noon")]
+    once, often = (pii.report(spark.createDataFrame(rows * n, "doc_id long, text string")).collect() for n in (1, 10))
+    same([tuple(r) for r in often], [tuple(r) for r in once] * 10)
+    assert any("term_" in r["spans"] for r in once)
+
+
+def brute_terms(rows, remove=1.0, generalise=3.0):
+    """Spans of (doc_id, text) rows by the definition: lower Wilson bound of P(entity | term), applied everywhere."""
+    import math
+
+    rows_once = set(rows)
+    said, seen, words = {}, collections.Counter(), {}
+    for key in rows_once:
+        spans = pii.base_spans(key[1])
+        words[key] = [(m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", key[1]) if not any(m.start() < b and a < m.end() for a, _, b in spans)]
+        seen.update({pii._term(w) for w in re.split("[\x20\x09-\x0d]+", key[1]) if w})
+        value = lambda a, k, b: key[1][a:b].lower() if k < 2 else re.sub("[^0-9]", "", key[1][a:b])
+        if spans:
+            said[key[1]] = {(k, value(a, k, b)) for a, k, b in spans}, {pii._term(key[1][a:b]) for a, b in words[key]} - {""}
+    together = collections.Counter((c, t) for cs, ts in said.values() for c in cs for t in ts)
+    action = {}
+    for (_, t), n in together.items():
+        size = max(n, seen[t])
+        p, z = n / size, pii.Z
+        low = (p + z * z / (2 * size) - z * math.sqrt(p * (1 - p) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+        if -math.log2(low) <= generalise:
+            action[t] = max(action.get(t, ""), "removed" if -math.log2(low) <= remove else "generalised")
+    out = []
+    for key in rows:
+        spans = [(a, k, pii.KINDS[k], b) for a, k, b in pii.base_spans(key[1])]
+        spans += [(a, 4, "term_" + action[pii._term(key[1][a:b])], b) for a, b in words[key] if pii._term(key[1][a:b]) in action]
+        out.append((key[0], ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(spans))))
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark, docs):
+    rows = given(docs)
+    rng = random.Random(12)
+    people = [("Ada", "ada@example.com"), ("Bo", "bo@example.org"), ("Cy", "10.1.2.3")]
+    for i in range(80):
+        name, at = rng.choice(people)
+        common = " ".join(rng.choice("one two three four five six".split()) for _ in range(rng.randint(0, 9)))
+        rows.append((1000 + i % 60, f"{common} {name if rng.random() < 0.7 else 'x%d' % rng.randint(0, 30)}, {at if rng.random() < 0.6 else ''} {common}"))
+    rows += [(2000 + i, f"Zed word{i} zed@example.net") for i in range(8)] + [(2000, rows[-1][1]), rows[-1]]
+    found = pii.report(spark.createDataFrame(rows, "doc_id long, text string"), everywhere=True).collect()
+    want = brute_terms(rows)
+    assert any("term_removed" in s for _, s in want) and any("term_generalised" in s for _, s in want)
+    same([(r["doc_id"], r["spans"]) for r in found], want)
+
+
 def test_pii_terms_far_from_the_entity_and_without_it(spark):
     rng = random.Random(7)
     filler = lambda: " ".join(f"w{rng.randint(0, 40)}" for _ in range(12))
