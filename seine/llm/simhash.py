@@ -32,7 +32,8 @@ from seine.store import durable
 HELD, PER_SLOT = 2_000_000, 1_000_000
 
 
-def _fingerprint_batch(lines: list[str], width: int) -> np.ndarray:
+def shingle_hashes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of the lower-cased word shingles of all lines, and where each line's end."""
     from xxhash import xxh64_intdigest as h64
 
     hashes: list[int] = []
@@ -49,7 +50,11 @@ def _fingerprint_batch(lines: list[str], width: int) -> np.ndarray:
                 start = (end - size)[: len(words) - width + 1].tolist()
                 hashes.extend([h64(joined[a:b], 42) for a, b in zip(start, end[width - 1 :].tolist())])
         ends[i] = len(hashes)
-    got = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64), ends
+
+
+def _fingerprint_batch(lines: list[str], width: int) -> np.ndarray:
+    got, ends = shingle_hashes(lines, width)
     ones = np.zeros((len(lines), 64), np.int64)
     owner = np.searchsorted(ends, np.arange(len(got)), side="right")
     for at in range(0, len(got), 100_000):
@@ -211,10 +216,24 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component; rows without doc_id stay.
+    """The rows of `docs` whose doc_id and fingerprint name their component; rows without doc_id stay.
 
-    Of repeated rows with one doc_id all stay: they name the same document.
+    A component is named by its smallest doc_id, and of that one's texts by the smallest
+    fingerprint.  Rows repeated with their text all stay: they are the same document.
     """
-    found = near_duplicates(docs, width, radius)
-    lose = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_seine_lost")).distinct()
-    return docs.join(lose, docs["doc_id"] == lose["_seine_lost"], "left_anti")
+    found = durable(near_duplicates(docs, width, radius), "simhash-found")
+    named = durable(found.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("own")), "simhash-own")
+    lose = found.join(named, "component_id").where("doc_id <> component_id or fp <> own").select(F.col("doc_id").alias("_seine_lost"), F.col("fp").alias("_seine_fp"))
+    return _without(docs, lose.distinct(), width)
+
+
+def _without(docs: DataFrame, lose: DataFrame, width: int) -> DataFrame:
+    """`docs` less the rows of (doc_id, fingerprint)."""
+
+    @F.arrow_udf("long")
+    def print_of(lines):
+        return pa.array(_fingerprint_batch(lines.to_pylist(), width), pa.int64())
+
+    own = docs.withColumn("_seine_own", print_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = (F.col("doc_id").cast("long") == F.col("_seine_lost")) & (F.col("_seine_own") == F.col("_seine_fp"))
+    return own.join(lose, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from seine.llm import pii, queries, quality_model, simhash
+from seine.llm import pii, queries, quality_model
 from seine.llm.tables import texts
+from tests.llm.test_near_texts import kept_by_brute_force
+from tests.llm.test_ten_operators import brute_terms, hostile
 
 
 @pytest.fixture(scope="module")
@@ -48,28 +50,41 @@ def test_line_stage(stages):
 
 
 def test_near_dedup_stage(stages):
-    rows = [(r["doc_id"], int(simhash._fingerprint_batch([r["text"]], 4)[0]) & (1 << 64) - 1) for r in stages[2]]
-    group = {i: i for i, _ in rows}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i, a in rows:
-        for j, b in rows:
-            if i < j and (a ^ b).bit_count() <= 4:
-                x, y = root(i), root(j)
-                group[max(x, y)] = min(x, y)
-    assert {r["doc_id"] for r in stages[3]} == {root(i) for i, _ in rows}
+    rows = [(r["doc_id"], r["text"]) for r in stages[2]]
+    assert [i for i, _ in sorted(kept_by_brute_force(rows))] == sorted(r["doc_id"] for r in stages[3])
 
 
 def test_sanitise_stage(stages):
-    before = {r["doc_id"]: r["text"] for r in stages[3]}
-    for r in stages[4]:
-        assert not pii.base_spans(r["text"])
-        if not pii.base_spans(before[r["doc_id"]]):
-            assert r["text"] == before[r["doc_id"]]
+    before = [(r["doc_id"], r["text"]) for r in stages[3]]
+    spans = dict(brute_terms(before))
+    assert any("term_" in s for s in spans.values())
+    after = {r["doc_id"]: r["text"] for r in stages[4]}
+    for i, text in before:
+        terms = [(int(a), kind[5:], int(b)) for kind, a, b in (x.split(":") for x in spans[i].split(",") if x) if kind.startswith("term_")]
+        assert after[i] == pii.redact(text, [{"start": a, "action": action, "end": b} for a, action, b in terms])
+        assert not pii.base_spans(after[i])
+
+
+HOSTILE = "doc_id long, text string, lang string, source string, n_chars long, _seine_id string, th string, node long, part int"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_every_stage_takes_hostile_and_empty_tables(spark, data, name, stage):
+    rows = [(r[0], r[1], None, r[3], None, "x", "y", 1, 2) for r in hostile()]
+    docs = spark.createDataFrame(rows, HOSTILE).repartition(3)
+    found, empty = stage(spark, docs, data), stage(spark, docs.limit(0), data)
+    assert empty.count() == 0
+    if stage is corpus_pipeline.STAGES[-1][1]:
+        assert found.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        return
+    assert found.columns == empty.columns == docs.columns
+    held = collections.Counter((r[0], r[2:]) for r in rows)
+    kept = collections.Counter((r[0], tuple(r)[2:]) for r in found.collect())
+    assert kept and not kept - held
+    if name in ("line dedup", "PII"):
+        assert kept == held
+    if name == "SimHash near-dedup":
+        assert {r["doc_id"] for r in docs.where("doc_id is null").collect()} <= {i for i, _ in kept}
 
 
 def test_pack_stage(spark, data, stages):

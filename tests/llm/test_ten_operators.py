@@ -96,6 +96,12 @@ def test_simhash(docs):
     same(found, [(i, signed(prints[t]), least.get(root(prints[t]))) for i, t in rows])
 
 
+def test_simhash_keeps_what_resembles_nothing(spark):
+    a, b = "one text of a few words that is held twice", "quite another one of the same document number"
+    found = simhash.keep_one(spark.createDataFrame([(3, a), (5, a), (5, b), (None, a)], "doc_id long, text string")).collect()
+    same([tuple(r) for r in found], [(3, a), (5, b), (None, a)])
+
+
 @pytest.mark.parametrize("held", [10, 3000, 2_000_000])
 def test_balls_link_all_neighbours_and_no_others(spark, held):
     rng = random.Random(held)
