@@ -7,7 +7,10 @@ not grow, and stop after a fixed number of rounds or when nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seine.store import durable, release
@@ -61,7 +64,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, depth: int, up: bool = False) -> DataFrame:
     """(node, depth): nodes within `depth` steps of `starts` (node).  A start appears only if a cycle leads back to it."""
     a, b = ("dst", "src") if up else ("src", "dst")
-    step = real(edges).select(F.col(a).alias("at"), F.col(b).alias("next"))
+    step = durable(real(edges).select(F.col(a).alias("at"), F.col(b).alias("next")), "steps")
     seen = None
     front = starts.select("node").distinct()
     for d in range(1, depth + 1):
@@ -78,7 +81,7 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int, up: bool = False)
 
 def shortest_paths(edges: DataFrame, source: str, most: int = 8) -> DataFrame:
     """(node, path): the least path by node name among the shortest undirected paths from `source`, up to `most` steps."""
-    step = neighbours(edges)
+    step = durable(neighbours(edges), "steps")
     spark = edges.sparkSession
     front = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = front
@@ -91,55 +94,16 @@ def shortest_paths(edges: DataFrame, source: str, most: int = 8) -> DataFrame:
     return seen
 
 
-#: Edges up to which PageRank runs in one task (some 150 MB there).
-ONE_TASK = 1_000_000
-
-
-def _pagerank_in_task(own: DataFrame, names: DataFrame, seeds: DataFrame | None, damping: float, rounds: int, tolerance: float, relative: bool) -> DataFrame:
-    """PageRank of at most ONE_TASK edges as a fold of one group; the same steps as the distributed form."""
-    none = F.lit(None).cast("double").alias("weight")
-    pairs = own.select("src", "dst", none).unionByName(names.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), none))
-    if seeds is not None:
-        pairs = pairs.unionByName(seeds.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("weight").cast("double").alias("weight")))
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        links, asked = pdf[pdf["dst"].notna()], pdf[pdf["weight"].notna()]
-        every = pdf[pdf["dst"].isna() & pdf["weight"].isna()]
-        names, at = np.unique(np.concatenate([links["src"], links["dst"], every["src"]]).astype(str), return_inverse=True)
-        a, b, n = at[: len(links)], at[len(links) : 2 * len(links)], len(names)
-        out = np.bincount(a, minlength=n)
-        jump = np.zeros(n)
-        place = {v: i for i, v in enumerate(names)}
-        for node, weight in zip(asked["src"], asked["weight"]):
-            if node in place:
-                jump[place[node]] += weight
-        jump = jump / jump.sum() if jump.sum() > 0 else np.full(n, 1 / max(1, n))
-        rank = jump.copy()
-        for _ in range(rounds):
-            flow = np.bincount(b, rank[a] / out[a], minlength=n)
-            new = jump * ((1 - damping) + damping * rank[out == 0].sum()) + damping * flow
-            moved, rank = np.abs(new - rank).max(initial=0), new
-            if moved < tolerance:
-                break
-        return pd.DataFrame({"node": names, "rank": rank / rank.max(initial=1e-300) if relative else rank})
-
-    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "node string, rank double")
-
-
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, relative: bool = True, one_task: int = ONE_TASK) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6, relative: bool = True) -> DataFrame:
     """(node, rank).  Teleports and dangling mass go to all real nodes, or to `seeds` (node, weight) by weight.
 
     Stops after `rounds`, or when no rank moves by `tolerance`.  `relative` divides by the
     largest rank.  Seeds outside the graph count for nothing; without a valid one the rank
-    is the global one.  Graphs of at most `one_task` edges (counted) run in one task.
+    is the global one.  A round is one join and one sum by node, combined before the shuffle.
     """
-    own = durable(real(edges), "edges")
-    names = nodes_of(edges).where(~is_external(F.col("node")))
-    if own.count() <= one_task:
-        return _pagerank_in_task(own, names, seeds, damping, rounds, tolerance, relative)
+    edges = durable(edges.select("src", "dst").distinct(), "edges")
+    own = real(edges)
+    names = durable(nodes_of(edges).where(~is_external(F.col("node"))), "names")
     out = own.groupBy("src").agg(F.count("*").alias("out"))
     links = durable(own.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
     base = names.join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("out").isNull().alias("dangling"))
@@ -154,18 +118,17 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
         base = base.join(valid, "node", "left").select("node", "dangling", (F.coalesce("weight", F.lit(0.0)) / total).alias("jump"))
     else:
         base = base.select("node", "dangling", F.lit(1.0 / n).alias("jump"))
-    base = durable(base, "nodes")
-    now = base.select("node", F.col("jump").alias("rank"))
-    lost = base.where("dangling").agg(F.sum("jump")).first()[0] or 0.0
+    now = durable(base.withColumn("rank", F.col("jump")), "rank")
+    lost = now.where("dangling").agg(F.sum("jump")).first()[0] or 0.0
     for _ in range(rounds):
         flow = now.join(links, now["node"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         rank = F.col("jump") * ((1 - damping) + damping * lost) + damping * F.coalesce("flow", F.lit(0.0))
-        new = base.join(flow, base["node"] == flow["dst"], "left").select("node", "dangling", rank.alias("rank"))
-        new = new.join(now.select("node", F.col("rank").alias("was")), "node")
-        new = durable(new.select("node", "dangling", "rank", F.abs(F.col("rank") - F.col("was")).alias("moved")), "rank")
+        new = now.join(flow, now["node"] == flow["dst"], "left").select("node", "dangling", "jump", rank.alias("rank"), F.col("rank").alias("was"))
+        seen = Observation()
+        new = new.observe(seen, F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost"), F.max(F.abs(F.col("rank") - F.col("was"))).alias("moved"))
+        new = durable(new.drop("was"), "rank")
         release(now)
-        lost, moved = new.agg(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.max("moved")).first()
-        lost, now = lost or 0.0, new
+        lost, moved, now = seen.get["lost"] or 0.0, seen.get["moved"], new
         if moved < tolerance:
             break
     now = now.select("node", "rank")
@@ -259,26 +222,41 @@ def cross_imports(edges: DataFrame, ranks: DataFrame, source: str, target: str,
     return ranked.groupBy("src").agg(F.count("*").alias("imports"), F.sum(value).alias("score"), F.min("dst").alias("first"))
 
 
+def import_evidence(edges: DataFrame, files: DataFrame, source: str, target: str) -> DataFrame:
+    """(src, dst, raw, line, text): the first line of each file under `source` that writes an import (src, dst, raw) from under `target`."""
+    found = edges.where(F.col("src").startswith(source) & F.col("dst").startswith(target)).select("src", "dst", "raw").distinct()
+    lines = files.select(F.col("file_path").alias("src"), F.posexplode(F.split("content", "\n", -1)).alias("line", "text"))
+    hits = found.join(lines, "src").where(F.col("text").contains(F.col("raw")))
+    first = F.min(F.struct("line", F.trim("text").alias("text"))).alias("x")
+    return hits.groupBy("src", "dst", "raw").agg(first).select("src", "dst", "raw", "x.line", "x.text")
+
+
 def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges after nodes (node) are removed."""
     left = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
     return left.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select(*edges.columns)
 
 
-def layers(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, layer) in topological order: sources are layer 0; nodes on or behind cycles have null."""
-    own = durable(real(edges).where("src <> dst"), "edges")
-    left = durable(nodes_of(own), "left")
-    done = None
-    for layer in range(most):
-        inside = own.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
-        free = durable(left.join(inside.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(layer).alias("layer")), "layer")
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) in topological order: sources are layer 0; nodes on or behind cycles have null.
+
+    Each round frees one layer, so there are as many rounds as layers.
+    """
+    every = durable(real(edges).where("src <> dst"), "edges")
+    own, free = every, nodes_of(every).join(every.select(F.col("dst").alias("node")), "node", "left_anti")
+    done: list[DataFrame] = []
+    for layer in count():
+        free = durable(free.select("node", F.lit(layer).alias("layer")), "layer")
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
-        left = durable(left.join(free, "node", "left_anti"), "left")
-    rest = left.select("node", F.lit(None).cast("int").alias("layer"))
-    return rest if done is None else done.unionByName(rest)
+        done.append(free)
+        passed = own.join(free.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        kept = durable(own.join(free.select(F.col("node").alias("src")), "src", "left_anti"), "edges")
+        own, free = kept, passed.join(kept.select(F.col("dst").alias("node")), "node", "left_anti")
+        if len(done) == 50:  # keeps the plan of the result short
+            done = [durable(reduce(DataFrame.unionByName, done), "layers")]
+    placed = reduce(DataFrame.unionByName, done) if done else free.limit(0)
+    return nodes_of(every).join(placed, "node", "left")
 
 
 def impact(edges: DataFrame, target: str, depth: int = 5) -> DataFrame:
