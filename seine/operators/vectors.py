@@ -1,7 +1,9 @@
-"""Vector search: exact top-k in blocks, LSH buckets, product quantisation, clusters."""
+"""Vector search: exact top-k in blocks, inverted cells, product quantisation, sign buckets, clusters."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,99 +11,270 @@ from pyspark.sql import functions as F
 
 from seine.functions import text as X
 from seine.operators.components import connected_components
+from seine.store import durable
 
-#: Queries that travel to every task: at 64 floats each, 10,000 are 5 MB.
-MOST_QUERIES = 10_000
+#: Queries that travel to every task at once: at 64 floats each, 10,000 are 5 MB.
+QUERIES_AT_ONCE = 10_000
 
 
-def _stated(queries: DataFrame) -> list:
-    rows = queries.select("vec_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: call in parts")
-    return rows
+def hashed_embedding(texts: list[str], width: int = 256) -> np.ndarray:
+    """The default model: lower-case words hashed by MD5 to signed places, unit length; a text without words is zero."""
+    from hashlib import md5
 
+    place: dict[str, tuple[int, float]] = {}
+    out = np.zeros((len(texts), width))
+    for row, text in zip(out, texts):
+        for word in text.lower().split():
+            if word not in place:
+                h = int(md5(word.encode()).hexdigest()[:8], 16)
+                place[word] = h // 2 % width, 1.0 - 2 * (h % 2)
+            at, sign = place[word]
+            row[at] += sign
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
-def top_k(base: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best by cosine for each query, from (vec_id, vector) tables.
 
-    `queries` is a stated set of at most MOST_QUERIES rows (checked): it goes to every task,
-    which keeps k rows a query of each block; only those are shuffled.
-    """
-    rows = _stated(queries)
-    ids = np.array([r[0] for r in rows], np.int64)
-    if not len(ids):
-        return base.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    q = np.array([r[1] for r in rows], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def embed(texts: DataFrame, key: str, text: str, model=hashed_embedding, at_once: int = 256) -> DataFrame:
+    """(key, vector) of every text by `model`, a function from a list of texts to a matrix, called for `at_once` texts; null is empty."""
 
     def run(batches):
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) if len(own) else np.zeros((0, q.shape[1]))
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            for a in range(0, len(q), 500):
-                sim = q[a : a + 500] @ v.T
-                if exclude_self:
-                    sim[ids[a : a + 500, None] == own[None, :]] = -np.inf
-                n = min(k, sim.shape[1])
-                best = np.argpartition(-sim, n - 1, axis=1)[:, :n] if n else np.zeros((len(sim), 0), int)
-                score = np.take_along_axis(sim, best, axis=1)
-                ok = score > -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[a : a + 500], n)[ok.ravel()]), pa.array(own[best][ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"]
-                )
-
-    found = base.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                found = np.asarray(model([t or "" for t in part.column(1).to_pylist()]), float)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(found), pa.list_(pa.float64()))], [key, "vector"])
+
+    kind = dict(texts.select(key).dtypes)[key]
+    return texts.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+
+def pending(chunks: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What is to be embedded, and what an equal content (`digest`) has embedded already: (key, digest, content) and (key, vector).
+
+    `done` has (digest, vector), one row a digest.
+    """
+    known = chunks.join(done, "digest")
+    return chunks.join(done, "digest", "left_anti").select(key, "digest", "content"), known.select(key, "vector")
+
+
+def usable(vectors: DataFrame, width: int | None = None) -> DataFrame:
+    """The rows whose `vector` is there, has no null element and, if stated, has `width` of them."""
+    ok = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull())
+    return vectors.where(ok if width is None else ok & (F.size("vector") == width))
+
+
+def _in_blocks(queries: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(ids, matrix) for blocks of `queries` (vec_id, vector) of about QUERIES_AT_ONCE rows, each written before the next."""
+    asked = durable(usable(queries.select("vec_id", "vector")), "queries")
+    blocks = -(-asked.count() // QUERIES_AT_ONCE)
+    done = []
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
+        for width in sorted({len(r["vector"]) for r in rows}):
+            own = [r for r in rows if len(r["vector"]) == width]
+            found = answer(np.array([r["vec_id"] for r in own], np.int64), np.array([r["vector"] for r in own], float))
+            done.append(durable(found, "answers") if blocks > 1 else found)
+    return reduce(DataFrame.unionByName, done) if done else queries.sparkSession.createDataFrame([], schema)
+
+
+class _Best:
+    """The k best (largest score, then least id) of each query over all batches of a task."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.id = k, np.full((queries, 0), -np.inf), np.zeros((queries, 0), np.int64)
+
+    def add(self, rows: slice | np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores (queries `rows`, vectors `ids`) of one batch; -inf counts for nothing."""
+        if self.score.shape[1] < self.k:
+            more = self.k - self.score.shape[1]
+            self.score = np.pad(self.score, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.id = np.pad(self.id, ((0, 0), (0, more)))
+        score = np.concatenate([self.score[rows], score], axis=1)
+        every = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(score), len(ids)))], axis=1)
+        if score.shape[1] > self.k:
+            best = np.argpartition(-score, self.k - 1, axis=1)[:, : self.k]
+            least = np.take_along_axis(score, best, axis=1).min(axis=1, keepdims=True)
+            for i in np.flatnonzero((score >= least).sum(axis=1) > self.k):  # ties at the k-th place
+                best[i] = np.lexsort((every[i], -score[i]))[: self.k]
+            score, every = np.take_along_axis(score, best, axis=1), np.take_along_axis(every, best, axis=1)
+        self.score[rows], self.id[rows] = score, every
+
+    def rows(self, ids: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        ok = self.score > -np.inf
+        asked = np.broadcast_to(ids[:, None], ok.shape)
+        return pa.RecordBatch.from_arrays([pa.array(asked[ok]), pa.array(self.id[ok]), pa.array(self.score[ok])], names)
+
+
+def _ranked(found: DataFrame, k: int, *order) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(*order)
     return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def product_codes(base: DataFrame, parts: int = 8, centroids: int = 16, rounds: int = 10, sample: int = 4000) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, code binary) and the codebook (parts, centroids, width), fitted on a bounded sample drawn by hash."""
+_SCORED = "query_id long, vec_id long, score double"
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(-1, width)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def top_k(base: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best by cosine for each query, from (vec_id, vector) tables.
+
+    `queries` is a stated set; it goes to every task in blocks of QUERIES_AT_ONCE.  A task
+    sends k rows a query, however many rows it reads.  Rows without a whole vector, or of
+    another length than the query's, are not found and ask nothing.
+    """
+
+    def answer(ids, q):
+        q = _unit(q)
+
+        def run(batches):
+            best = _Best(len(q), k)
+            for batch in batches:
+                own, v = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1), q.shape[1]))
+                for a in range(0, len(q) if len(own) else 0, 500):
+                    sim = q[a : a + 500] @ v.T
+                    if exclude_self:
+                        sim[ids[a : a + 500, None] == own[None, :]] = -np.inf
+                    best.add(slice(a, a + 500), sim, own)
+            yield best.rows(ids, ["query_id", "vec_id", "score"])
+
+        return usable(base.select("vec_id", "vector"), q.shape[1]).mapInArrow(run, _SCORED)
+
+    return _ranked(_in_blocks(queries, answer, _SCORED), k, F.desc("score"), "vec_id")
+
+
+def _sample(base: DataFrame, most: int) -> np.ndarray:
+    """About `most` vectors, drawn by hash of the id, in order of it; of the commonest length."""
     n = base.count()
-    share = min(1.0, sample / max(1, n))
-    most = int(-(1 << 63) + share * ((1 << 64) - 1))
-    got = base.where(F.xxhash64("vec_id") <= min(most, (1 << 63) - 1)).select("vec_id", "vector").collect()
-    x = np.array([r["vector"] for r in sorted(got, key=lambda r: r["vec_id"])], float)
+    share = min(1.0, most / max(1, n))
+    bound = int(-(1 << 63) + share * ((1 << 64) - 1))
+    got = base.where(F.xxhash64("vec_id") <= min(bound, (1 << 63) - 1)).select("vec_id", "vector").collect()
+    got = sorted((r["vec_id"], r["vector"]) for r in got)
+    widths = sorted(len(v) for _, v in got)
+    return np.array([v for _, v in got if len(v) == widths[len(widths) // 2]], float) if got else np.zeros((0, 0))
+
+
+def _centres(x: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """k-means from evenly spaced rows."""
+    c = x[np.linspace(0, len(x) - 1, number).astype(int)].copy()
+    for _ in range(rounds):
+        near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        count = np.bincount(near, minlength=number)
+        c[count > 0] = total[count > 0] / count[count > 0, None]
+    return c
+
+
+def product_codes(base: DataFrame, parts: int = 8, centroids: int = 256, rounds: int = 10, sample: int = 4000) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, code binary) and the codebook (parts, centroids, width), fitted on a bounded sample drawn by hash.
+
+    Rows without a whole vector have no code.  An empty table has an empty codebook and no codes.
+    """
+    base = usable(base.select("vec_id", "vector"))
+    x = _sample(base, sample)
+    if not len(x):
+        return base.select("vec_id", F.lit(b"").alias("code")).limit(0), np.zeros((parts, 0, 0))
+    if x.shape[1] % parts:
+        raise ValueError("the vectors' length must be a multiple of `parts`")
     width = x.shape[1] // parts
-    book = np.zeros((parts, centroids, width))
-    for p in range(parts):
-        own = x[:, p * width : (p + 1) * width]
-        c = own[np.linspace(0, len(own) - 1, centroids).astype(int)].copy()
-        for _ in range(rounds):
-            near = ((own[:, None] - c[None]) ** 2).sum(2).argmin(1)
-            for j in range(centroids):
-                if (near == j).any():
-                    c[j] = own[near == j].mean(0)
-        book[p] = c
+    book = np.stack([_centres(x[:, p * width : (p + 1) * width], centroids, rounds) for p in range(parts)])
 
     def run(batches):
         for batch in batches:
-            v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, parts * width))
-            code = np.stack([((v[:, p * width : (p + 1) * width, None] - book[p].T[None]) ** 2).sum(1).argmin(1) for p in range(parts)], 1).astype(np.uint8)
+            v = _matrix(batch.column(1), parts * width)
+            code = np.zeros((len(v), parts), np.uint8)
+            for p in range(parts):
+                own = v[:, p * width : (p + 1) * width]
+                code[:, p] = ((book[p] ** 2).sum(1) - 2 * own @ book[p].T).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in code], pa.binary())], ["vec_id", "code"])
 
-    return base.select("vec_id", "vector").mapInArrow(run, "vec_id long, code binary"), book
+    return usable(base, parts * width).mapInArrow(run, "vec_id long, code binary"), book
 
 
-def quantized_top_k(codes: DataFrame, book: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, far, rank): the k nearest by summed table distances over all codes, for a stated query set."""
-    asked = _stated(queries)
+def quantized_top_k(codes: DataFrame, book: np.ndarray, base: DataFrame, queries: DataFrame, k: int, shortlist: int | None = None) -> DataFrame:
+    """(query_id, vec_id, far, rank): the k nearest of a stated query set by squared distance.
+
+    The `shortlist` (20 k) nearest by summed code tables over all codes are measured again by
+    their vectors; the tests hold recall at 10 against exact search.
+    """
+    shortlist = shortlist or 20 * k
     parts, _, width = book.shape
 
+    def answer(ids, q):
+        def run(batches):
+            best = _Best(len(q), shortlist)
+            tables = [((q[:, p * width : (p + 1) * width, None] - book[p].T[None]) ** 2).sum(1) for p in range(parts)]
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, parts)
+                for a in range(0, len(q) if len(own) else 0, 500):
+                    far = sum(tables[p][a : a + 500][:, code[:, p]] for p in range(parts))
+                    best.add(slice(a, a + 500), -far, own)
+            yield best.rows(ids, ["query_id", "vec_id", "score"])
+
+        return codes.mapInArrow(run, _SCORED)
+
+    near = _ranked(_in_blocks(usable(queries, parts * width), answer, _SCORED), shortlist, F.desc("score"), "vec_id")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
+    exact = near.select("query_id", "vec_id").join(base.select("vec_id", "vector"), "vec_id").join(asked, "query_id")
+    return _ranked(exact.select("query_id", "vec_id", X.squared_distance(F.col("q"), F.col("vector")).alias("far")), k, "far", "vec_id")
+
+
+def cell_index(base: DataFrame, cells: int = 64, rounds: int = 10, sample: int = 8000) -> tuple[DataFrame, np.ndarray]:
+    """An inverted file: (vec_id, vector, cell) of every whole vector, and the cells' centres, fitted on a sample drawn by hash."""
+    base = usable(base.select("vec_id", "vector"))
+    x = _sample(base, sample)
+    centres = _centres(_unit(x), cells, rounds) if len(x) else np.zeros((0, 0))
+    width = centres.shape[1]
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            code = np.array([np.frombuffer(x, np.uint8) for x in batch.column(1).to_pylist()]).reshape(-1, parts)
-            for r in asked:
-                table = ((np.array(r["vector"], float).reshape(parts, 1, width) - book) ** 2).sum(2)
-                far = table[np.arange(parts), code].sum(1)
-                best = np.lexsort((ids, far))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["vec_id"])), pa.array(ids[best]), pa.array(far[best])], ["query_id", "vec_id", "far"])
-
-    found = codes.mapInArrow(run, "query_id long, vec_id long, far double")
-    w = Window.partitionBy("query_id").orderBy("far", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+            v = _unit(_matrix(batch.column(1), width))
+            cell = ((centres**2).sum(1) - 2 * v @ centres.T).argmin(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], ["vec_id", "vector", "cell"])
+
+    if not len(x):
+        return base.select("vec_id", "vector", F.lit(0).alias("cell")).limit(0), centres
+    kind = dict(base.dtypes)["vector"]
+    return usable(base, width).mapInArrow(run, f"vec_id long, vector {kind}, cell int"), centres
+
+
+def approximate_top_k(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 40, exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best by cosine among each query's `probes` nearest cells of `cell_index`.
+
+    Cells no query asks for are filtered in the scan of a stored index.
+    """
+
+    def answer(ids, q):
+        q = _unit(q)
+        far = (centres**2).sum(1) - 2 * q @ centres.T
+        asked = np.zeros(far.shape, bool)
+        np.put_along_axis(asked, np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+
+        def run(batches):
+            best = _Best(len(q), k)
+            for batch in batches:
+                own, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                v = _unit(_matrix(batch.column(1), q.shape[1]))
+                for c in np.unique(cell):
+                    who, here = np.flatnonzero(asked[:, c]), cell == c
+                    for a in range(0, len(who), 500):
+                        rows = who[a : a + 500]
+                        sim = q[rows] @ v[here].T
+                        if exclude_self:
+                            sim[ids[rows, None] == own[here][None, :]] = -np.inf
+                        best.add(rows, sim, own[here])
+            yield best.rows(ids, ["query_id", "vec_id", "score"])
+
+        cells = np.flatnonzero(asked.any(axis=0)).tolist()
+        return index.where(F.col("cell").isin(cells)).select("vec_id", "vector", "cell").mapInArrow(run, _SCORED)
+
+    return _ranked(_in_blocks(usable(queries, centres.shape[1]), answer, _SCORED), k, F.desc("score"), "vec_id")
 
 
 def sign_bucket_merge(base: DataFrame, dimensions: int = 12, least: float = 0.82) -> DataFrame:

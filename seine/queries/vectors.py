@@ -65,19 +65,64 @@ def product_quantization(spark, sf_dir):
     return codes.select("vec_id", F.lower(F.hex("code")).alias("code"))
 
 
-@query()
+_L2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i])))"
+
+
+@query(
+    f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_L2} AS far FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) - 1 AS INT) AS rank FROM s) SELECT query_id, vec_id, rank FROM r WHERE rank < 10"""
+)
 def quantized_search(spark, sf_dir):
-    """Ten nearest by table sums over codes, for each vector divisible by 50."""
+    """Ten nearest by codes and exact measures of the shortlist, for each vector divisible by 50; the SQL is the exact search (tests hold recall)."""
     own = base(spark, sf_dir)
     codes, book = vectors.product_codes(own)
-    return vectors.quantized_top_k(codes, book, own.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
+    return vectors.quantized_top_k(codes, book, own, own.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
 @query()
+def approximate_vector_search(spark, sf_dir):
+    """Ten nearest by cosine among the probed cells, for each vector divisible by 50."""
+    own = base(spark, sf_dir)
+    index, centres = vectors.cell_index(own)
+    found = vectors.approximate_top_k(index, centres, own.where("vec_id % 50 = 0"), 10)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+_SIGNS = "list_reduce(list_transform(embedding[1:12], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), lambda x, y: x || y)"
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, embedding, {_SIGNS} AS bucket FROM embeddings),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b USING (bucket) WHERE a.vec_id <> b.vec_id AND {_COS} >= 0.82),
+w AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT w.x, l.y FROM w JOIN l ON l.x = w.y) SELECT x AS vec_id, min(y) AS cluster FROM w GROUP BY x"""
+)
 def embedding_cluster_merge(spark, sf_dir):
     return vectors.sign_bucket_merge(base(spark, sf_dir))
 
 
+@query(
+    """WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS w FROM benchmark),
+h AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM w), p AS (SELECT item_id, (h // 2) % 64 AS place, sum(1 - 2 * (h % 2)) AS v FROM h GROUP BY ALL),
+n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM p GROUP BY item_id) SELECT item_id, CAST(place AS INT) AS place, round(v / n, 6) AS value FROM p JOIN n USING (item_id) WHERE v <> 0"""
+)
+def hashed_embeddings(spark, sf_dir):
+    """The default embedder over the benchmark items: the places that are not zero."""
+    found = vectors.embed(read_table(spark, sf_dir, "benchmark"), "item_id", "text", lambda t: vectors.hashed_embedding(t, 64))
+    return found.select("item_id", F.posexplode("vector").alias("place", "value")).where("value <> 0").withColumn("value", F.round("value", 6))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, md5(text) AS digest FROM documents), d AS (SELECT DISTINCT md5(text) AS digest FROM documents WHERE doc_id < 100)
+SELECT doc_id, CASE WHEN digest IN (FROM d) THEN 'reused' ELSE 'pending' END AS state FROM c"""
+)
+def embed_queue(spark, sf_dir):
+    """What is to be embedded, and what reuses the vector of an equal text among the first hundred documents."""
+    chunks = read_table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"), F.col("text").alias("content"))
+    done = vectors.embed(chunks.where("doc_id < 100"), "digest", "content").dropDuplicates(["digest"])
+    todo, known = vectors.pending(chunks, done, "doc_id")
+    return todo.select("doc_id", F.lit("pending").alias("state")).unionByName(known.select("doc_id", F.lit("reused").alias("state")))
+
+
 @query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def unembedded_chunks(spark, sf_dir):
     """Ids of one table without an entry in another: the queue of what is still to be embedded."""
