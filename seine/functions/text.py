@@ -18,16 +18,38 @@ def _parts(word: Column, gap: str) -> Column:
     return F.filter(F.split(F.lower(camel_spaced(word)), gap), lambda x: x != "")
 
 
+def code_words(text: Column) -> Column:
+    """Words with their dots and underscores, as they stand."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+
+
+def word_tokens(word: Column) -> Column:
+    """Lower-case parts of a dotted, snake or camel word, each once, and the whole word if it has parts.
+
+    Words of small letters and digits, nearly all, have no parts and skip the splitting.
+    """
+    split = F.transform(
+        F.array(_parts(word, "[ ._]+")),
+        lambda p: F.when(F.size(p) > 1, F.array_distinct(F.concat(p, F.array(F.lower(word))))).otherwise(p),
+    )[0]
+    return F.when(word.rlike(r"[^\p{Ll}\p{Nd}]"), split).otherwise(F.array(word))
+
+
 def code_tokens(text: Column) -> Column:
-    """Lower-case tokens: parts of dotted, snake and camel words, distinct within a word, and the whole word if it has parts."""
+    """The `word_tokens` of all words of a text, in order."""
+    return F.flatten(F.transform(code_words(text), word_tokens))
+
 
-    def of_word(w: Column) -> Column:
-        return F.transform(
-            F.array(_parts(w, "[ ._]+")),
-            lambda p: F.when(F.size(p) > 1, F.array_distinct(F.concat(p, F.array(F.lower(w))))).otherwise(p),
-        )[0]
+def query_tokens(text: str) -> list[str]:
+    """`code_tokens` of a query, on the driver."""
+    import regex
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), of_word))
+    out: list[str] = []
+    for word in regex.findall(_WORD, text):
+        spaced = regex.sub(r"(\p{Lu})(\p{Lu}\p{Ll})", r"\1 \2", regex.sub(r"(\p{Ll}|\p{N})(\p{Lu})", r"\1 \2", word))
+        parts = [p for p in regex.split("[ ._]+", spaced.lower()) if p]
+        out += dict.fromkeys([*parts, word.lower()]) if len(parts) > 1 else parts
+    return out
 
 
 def identifier_words(name: Column) -> Column:
@@ -231,3 +253,10 @@ def on_empty(text: Column, other: str) -> Column:
 
 def truncate_each(text: Column, chars: int) -> Column:
     return _joined(F.transform(_lines(text), lambda x: F.substring(x, 1, chars)))
+
+
+def first_rule(rules: list[tuple[int, str, str, int]], tool: Column, text: Column) -> Column:
+    """The first of (number, tool or *, pattern, least lines) that fits an output; null if none does."""
+    lines = F.size(_lines(text))
+    fits = lambda t, p, n: ((tool == t) | F.lit(t == "*")) & text.rlike(p) & (lines >= n)
+    return F.coalesce(*[F.when(fits(t, p, n), k) for k, t, p, n in rules])

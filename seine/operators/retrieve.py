@@ -8,25 +8,88 @@ on the postings (pushed to the scan of a stored index), not a join.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
+from seine.store import durable
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
-    """(field, term, key, tf, dl) of tokenised fields; dl is the field's length in tokens."""
-    each = [
-        F.struct(F.lit(name).alias("field"), tokens.alias("tokens"), F.size(tokens).alias("dl")) for name, tokens in fields.items()
-    ]
-    found = docs.select(key, F.explode(F.array(*each)).alias("f")).select(
-        key, "f.field", "f.dl", F.explode("f.tokens").alias("term")
-    )
-    return found.groupBy("field", "term", key, "dl").agg(F.count("*").alias("tf")).select("field", "term", key, "tf", "dl")
+def postings(docs: DataFrame, key: str, fields: dict[str, Column], tokens=None) -> DataFrame:
+    """(field, term, key, tf, dl) of fields given as arrays of words; dl is the field's length in tokens.
+
+    `tokens` makes the tokens of one word (none: the word is its token); it runs once for
+    each distinct word of a document.  Rows are dealt by key once, for both sums and the
+    lengths, so the splitting is spread even if one file holds all documents.
+    """
+    each = [F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items()]
+    found = docs.select(key, F.explode(F.array(*each)).alias("f")).select(key, "f.field", F.explode("f.words").alias("word"))
+    counted = found.repartition(key).groupBy(key, "field", "word").agg(F.count("*").alias("n"))
+    if tokens:
+        counted = counted.select(key, "field", "n", F.explode(tokens(F.col("word"))).alias("word"))
+    terms = counted.groupBy(key, "field", F.col("word").alias("term")).agg(F.sum("n").alias("tf"))
+    dl = F.sum("tf").over(Window.partitionBy(key, "field")).cast("int")
+    return terms.select("field", "term", key, "tf", dl.alias("dl"))
+
+
+def clustered(index: DataFrame, key: str) -> DataFrame:
+    """Postings in ranges of (term, key), sorted: a stored index whose files and row groups a term filter skips, hot terms over several."""
+    return durable(index, "postings").repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+#: The fields of a chunk that a query searches by default, with their weights.
+BOOSTS = {"entity": 3.0, "signature": 2.0, "scope": 1.5, "content": 1.0, "doc": 2.0, "ident_words": 2.0, "path": 1.5}
+
+_CLAUSE = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))')
+
+
+def parse(query: str, boosts: dict[str, float] = BOOSTS) -> list[tuple[str, str | None, list[str]]]:
+    """Clauses (occur, field, tokens) of a query: words are OR-ed, `+` must and `-` must not match, `field:` names a field.
+
+    A quoted clause needs all its tokens in one field.  A prefix that is no field belongs to the word.
+    """
+    out = []
+    for occur, field, quoted, word in _CLAUSE.findall(query):
+        if field and field not in boosts:
+            word, field = f"{field}:{word or quoted}", ""
+        tokens = X.query_tokens(quoted or word)
+        if tokens and (quoted or occur):
+            out.append((occur, field or None, tokens))
+        else:
+            out += [(occur, field or None, [t]) for t in tokens]
+    return out
+
+
+def search(index: DataFrame, key: str, query: str, boosts: dict[str, float] = BOOSTS, stats: DataFrame | None = None) -> DataFrame:
+    """(key, score) of a parsed query over the boosted fields; clauses that must (not) match filter, all but the excluded ones score."""
+    clauses = parse(query, boosts)
+    scored = [(f, t) for occur, f, tokens in clauses if occur != "-" for t in tokens]
+    if not scored:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    weighted = _weighted(index, key, sorted({t for _, _, tokens in clauses for t in tokens}), boosts, stats)
+    field, term = F.col("field"), F.col("term")
+    asked = lambda f, t: (term == t) & (F.lit(True) if f is None else field == f)
+    counts = reduce(lambda a, b: a + b, [asked(f, t).cast("int") for f, t in scored])
+    holds = []
+    for i, (occur, f, tokens) in enumerate(clauses):
+        if occur or len(tokens) > 1:
+            each = [F.collect_set(F.when(asked(f, t), field)) for t in tokens]
+            whole = F.size(reduce(F.array_intersect, each)) > 0  # all tokens in one field
+            holds.append((occur, whole.alias(f"_c{i}"), f, tokens, F.col(f"_c{i}")))
+    found = weighted.groupBy(key).agg(F.sum(F.col("weight") * counts).alias("score"), *[c for _, c, *_ in holds])
+    for occur, _, _, _, col in holds:
+        if occur:
+            found = found.where(~col if occur == "-" else col)
+    loose = [(f, t) for occur, f, tokens in clauses if occur != "-" and (occur == "+" or len(tokens) == 1) for t in tokens]
+    phrases = [col for occur, _, _, tokens, col in holds if not occur]
+    if phrases and not loose:  # quoted clauses alone: one of them must match whole
+        found = found.where(reduce(lambda a, b: a | b, phrases))
+    return found.where("score > 0").select(key, "score")
 
 
 def field_statistics(index: DataFrame, key: str) -> DataFrame:
@@ -39,9 +102,9 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(index: DataFrame, key: str, terms: list[str], boosts: dict[str, float]) -> DataFrame:
-    """(key, score): boosted field scores of any of the terms, summed; k1 1.2, b 0.75, idf ln(1 + (n - df + .5) / (df + .5))."""
-    stats = field_statistics(index, key)
+def _weighted(index: DataFrame, key: str, terms: list[str], boosts: dict[str, float], stats: DataFrame | None) -> DataFrame:
+    """(key, field, term, weight): the boosted BM25 weight of every posting of the terms; `stats` is field_statistics, if it is stored."""
+    stats = field_statistics(index, key) if stats is None else stats
     hits = index.where(F.col("term").isin(sorted(set(terms))) & F.col("field").isin(sorted(boosts)))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for p in boosts.items() for x in p])[F.col("field")]
@@ -50,11 +113,15 @@ def bm25(index: DataFrame, key: str, terms: list[str], boosts: dict[str, float])
     return (
         hits.join(F.broadcast(df), ["field", "term"])  # a row a field and query term
         .join(F.broadcast(stats), "field")  # a row a field
-        .groupBy(key)
-        .agg(F.sum(boost * idf * weight).alias("score"))
+        .select(key, "field", "term", (boost * idf * weight).alias("weight"))
     )
 
 
+def bm25(index: DataFrame, key: str, terms: list[str], boosts: dict[str, float], stats: DataFrame | None = None) -> DataFrame:
+    """(key, score): boosted field scores of any of the terms, summed; k1 1.2, b 0.75, idf ln(1 + (n - df + .5) / (df + .5))."""
+    return _weighted(index, key, terms, boosts, stats).groupBy(key).agg(F.sum("weight").alias("score"))
+
+
 def top(scored: DataFrame, k: int, key: str, score: str = "score") -> DataFrame:
     """The k best rows with their rank from 0: a distributed top-k, then one small window."""
     best = scored.orderBy(F.desc(score), F.asc(key)).limit(k)
@@ -92,11 +159,42 @@ def trigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, batch.schema.field(0).type)], ["trigram", key])
 
     kind = dict(docs.select(key).dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"trigram string, {key} {kind}")
+    # dealt by key, as a file of one row group would be one task; the trigrams are many times the text
+    return docs.select(key, text).repartition(key).mapInArrow(run, f"trigram string, {key} {kind}")
+
+
+#: Changed documents that an overlay holds before it is merged into a new base.
+MOST_CHANGED = 4096
+
+
+def changed_trigrams(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
+    """A trigram index with the documents of `changed` (key, text; null text: deleted) indexed anew.
+
+    The base stays as it is: its rows of changed documents are passed over, theirs are
+    added.  Past MOST_CHANGED documents the result is written as a new base.
+    """
+    gone = changed.select(key).distinct()
+    now = index.join(gone, key, "left_anti").select("trigram", key).unionByName(trigrams(changed.where(F.col(text).isNotNull()), key, text))
+    return durable(clustered_trigrams(now, key), "trigrams") if gone.limit(MOST_CHANGED + 1).count() > MOST_CHANGED else now
+
+
+def clustered_trigrams(index: DataFrame, key: str) -> DataFrame:
+    """A trigram index in ranges of (trigram, key), sorted, so that a filter by trigram skips files and row groups."""
+    return durable(index, "trigrams").repartitionByRange("trigram", key).sortWithinPartitions("trigram", key)
+
+
+def list_files(files: DataFrame, glob: str, limit: int) -> DataFrame:
+    """The first `limit` paths, in order, that a glob matches."""
+    return files.where(F.col("file_path").rlike(glob_regex(glob))).select("file_path").orderBy("file_path").limit(limit)
+
+
+def indexed_files(chunks: DataFrame) -> DataFrame:
+    """(file_path, chunk_count) of the files that have chunks."""
+    return chunks.groupBy("file_path").agg(F.count("*").alias("chunk_count"))
 
 
 def glob_regex(glob: str) -> str:
-    """A glob (* within a folder, ** across, ?, {a,b}) as an anchored regular expression."""
+    """A glob (* within a folder, ** across, ?, {a,b}, [abc]) as an anchored regular expression."""
     out, i = "", 0
     while i < len(glob):
         c = glob[i]
@@ -106,6 +204,9 @@ def glob_regex(glob: str) -> str:
             out, i = out + ".*", i + 1
         elif c == "*":
             out += "[^/]*"
+        elif c == "[" and "]" in glob[i:]:
+            end = glob.index("]", i)
+            out, i = out + glob[i : end + 1].replace("[!", "[^"), end
         elif c == "?":
             out += "[^/]"
         elif c == "{":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from seine.functions import text as X
 from seine.operators import retrieve
 from seine.plans import trigrams as plans
 from seine.queries import query
-from seine.queries.text import CHUNKS, FILES, chunks, files, tokens_sql
-from seine.store import read_table
+from seine.queries.text import CHUNKS, FILES, chunks, files, parts_sql, tokens_sql
+from seine.store import read_table, stored
 
 TERMS = ["ention", "onthe", "threre"]
 _TERMS_SQL = ", ".join(f"'{t}'" for t in TERMS)
@@ -29,15 +31,26 @@ s AS (SELECT doc_id, sum((CASE field WHEN 'path' THEN 1.5 ELSE 1.0 END) * ln(1 +
 
 
 def index(spark, sf_dir):
-    fields = {"content": X.code_tokens(F.col("content")), "path": X.path_segments(F.col("file_path"))}
-    return retrieve.postings(files(spark, sf_dir), "doc_id", fields)
+    """The stored postings of both fields, built by the first query that needs them."""
+
+    def build():
+        fields = {"content": X.code_words(F.col("content")), "path": X.path_segments(F.col("file_path"))}
+        tokens = lambda w: F.when(F.col("field") == "content", X.word_tokens(w)).otherwise(F.array(w))
+        return retrieve.clustered(retrieve.postings(files(spark, sf_dir), "doc_id", fields, tokens), "doc_id")
+
+    return stored(spark, "postings", f"{sf_dir}/documents.parquet", build)
+
+
+def statistics(spark, sf_dir):
+    own = index(spark, sf_dir)
+    return stored(spark, "field-statistics", f"{sf_dir}/documents.parquet", lambda: retrieve.field_statistics(own, "doc_id"))
 
 
 BOOSTS = {"content": 1.0, "path": 1.5}
 
 
 def scores(spark, sf_dir, terms=TERMS):
-    return retrieve.bm25(index(spark, sf_dir), "doc_id", terms, BOOSTS)
+    return retrieve.bm25(index(spark, sf_dir), "doc_id", terms, BOOSTS, statistics(spark, sf_dir))
 
 
 @query(f"WITH {bm25_sql(_TERMS_SQL)} SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS INT) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 20")
@@ -79,21 +92,88 @@ def trigram_index(spark, sf_dir):
     return found.where(~F.col("trigram").contains("\n")).groupBy("trigram").agg(F.count("*").alias("docs"))
 
 
+def trigram_rows(spark, sf_dir):
+    """The stored trigram index of the documents."""
+
+    def build():
+        return retrieve.clustered_trigrams(retrieve.trigrams(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+    return stored(spark, "trigrams", f"{sf_dir}/documents.parquet", build)
+
+
 @query("SELECT doc_id FROM documents WHERE contains(text, 'ingthe')")
 def trigram_literal_search(spark, sf_dir):
     """Candidates by trigrams, then verified."""
     docs = read_table(spark, sf_dir, "documents")
-    found = plans.execute(plans.of_literal("ingthe"), retrieve.trigrams(docs, "doc_id", "text"), docs, "doc_id")
+    found = plans.execute(plans.of_literal("ingthe"), trigram_rows(spark, sf_dir), docs, "doc_id")
     return docs.join(found, "doc_id", "left_semi").where(F.col("text").contains("ingthe")).select("doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'ingthe|ouaux[a-z]+re|[0-9]{4}er')")
+#: Plans into an OR of an AND (with an OR inside) and a literal's AND.
+RULE = "(ingthe|ouaux)[a-z]*tion|onthe [a-z]+ing"
+
+
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{RULE}')")
 def trigram_regex_search(spark, sf_dir):
-    """A pattern planned into trigrams (alternation of an AND and a match-all), executed as set operations, then verified."""
+    """A pattern planned into trigrams, executed as set operations, then verified."""
     docs = read_table(spark, sf_dir, "documents")
-    rule = "ingthe|ouaux[a-z]+re|[0-9]{4}er"
-    found = plans.execute(plans.of_regex(rule), retrieve.trigrams(docs, "doc_id", "text"), docs, "doc_id")
-    return docs.join(found, "doc_id", "left_semi").where(F.col("text").rlike(rule)).select("doc_id")
+    found = plans.execute(plans.of_regex(RULE), trigram_rows(spark, sf_dir), docs, "doc_id")
+    return docs.join(found, "doc_id", "left_semi").where(F.col("text").rlike(RULE)).select("doc_id")
+
+
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, 'the', 'QZX') ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0),
+t AS (SELECT DISTINCT doc_id, text[i:i+2] AS trigram FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 1, 1))) AS i FROM d) WHERE length(text) > 2)
+SELECT trigram, count(*) AS docs FROM t GROUP BY trigram"""
+)
+def trigram_delta_overlay(spark, sf_dir):
+    """The stored index under changes: every seventh document is rewritten, every eleventh is gone."""
+    d = F.col("doc_id")
+    docs = read_table(spark, sf_dir, "documents").where((d % 7 == 0) | (d % 11 == 0))
+    changed = docs.select("doc_id", F.when(d % 11 != 0, F.replace("text", F.lit("the"), F.lit("QZX"))).alias("text"))
+    now = retrieve.changed_trigrams(trigram_rows(spark, sf_dir), changed, "doc_id", "text")
+    return now.groupBy("trigram").agg(F.count("*").alias("docs"))
+
+
+#: Seven fields of every document: its name, first line, source and language, whole text, last line, words of its name, path.
+SEVEN = {
+    "entity": ("['Doc' || doc_id]", lambda: F.array(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")))),
+    "signature": ("W(string_split(content, chr(10))[1])", lambda: X.code_words(F.element_at(F.split("content", "\n", -1), 1))),
+    "scope": ("[source, lang]", lambda: F.array("source", "lang")),
+    "content": ("W(content)", lambda: X.code_words(F.col("content"))),
+    "doc": ("W(string_split(content, chr(10))[-1])", lambda: X.code_words(F.element_at(F.split("content", "\n", -1), -1))),
+    "ident_words": ("['doc', CAST(doc_id AS VARCHAR)]", lambda: F.array(F.lit("doc"), F.col("doc_id").cast("string"))),
+    "path": ("W(file_path)", lambda: X.code_words(F.col("file_path"))),
+}
+_W = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_.]+')"
+
+
+def _seven_sql() -> str:
+    words = [f"SELECT '{f}' AS field, doc_id, unnest({re.sub(r'W\((.*)\)$', lambda m: _W.format(m[1]), sql)}) AS word FROM files" for f, (sql, _) in SEVEN.items()]
+    boosts = " ".join(f"WHEN '{f}' THEN {b}" for f, b in retrieve.BOOSTS.items())
+    return rf"""WITH {FILES}, w AS ({' UNION ALL '.join(words)}), p AS (SELECT field, doc_id, word, {parts_sql('word')} AS parts FROM w),
+toks AS MATERIALIZED (SELECT field, doc_id, unnest(CASE WHEN len(parts) > 1 THEN list_distinct(list_append(parts, lower(word))) ELSE parts END) AS token FROM p),
+dl AS (SELECT field, doc_id, count(*) AS dl FROM toks GROUP BY ALL), fs AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY field),
+tf AS (SELECT field, doc_id, token, count(*) AS tf FROM toks GROUP BY ALL), df AS (SELECT field, token, count(*) AS df FROM tf GROUP BY ALL),
+ws AS MATERIALIZED (SELECT field, doc_id, token, CASE field {boosts} END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w
+  FROM tf JOIN df USING (field, token) JOIN fs USING (field) JOIN dl USING (field, doc_id) WHERE token IN ('ention', 'onthe', 'the', 'en', 'src3')),
+s AS (SELECT doc_id, sum(CASE WHEN token IN ('ention', 'onthe') OR token = 'the' OR (token = 'en' AND field = 'scope') THEN w ELSE 0 END) AS score FROM ws
+  WHERE doc_id IN (SELECT doc_id FROM ws WHERE token = 'the') AND doc_id NOT IN (SELECT doc_id FROM ws WHERE token = 'src3' AND field = 'scope') GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS INT) AS rank FROM s ORDER BY rank LIMIT 50"""
+
+
+@query(_seven_sql())
+def bm25f_query(spark, sf_dir):
+    """A parsed query over seven boosted fields: words, one that must stand, one of a named field, one that must not."""
+
+    def build():
+        return retrieve.clustered(retrieve.postings(files(spark, sf_dir), "doc_id", {f: col() for f, (_, col) in SEVEN.items()}, X.word_tokens), "doc_id")
+
+    index = stored(spark, "seven-postings", f"{sf_dir}/documents.parquet", build)
+    stats = stored(spark, "seven-statistics", f"{sf_dir}/documents.parquet", lambda: retrieve.field_statistics(index, "doc_id"))
+    found = retrieve.search(index, "doc_id", "ention onthe +the scope:en -scope:src3", stats=stats)
+    best = retrieve.top(found.withColumn("score", F.round("score", 9)), 50, "doc_id")
+    return best.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def grep_sql(condition: str, context: int = 0) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
-from seine.operators import corpus
+from seine.operators import corpus, retrieve
 from seine.queries import query
 from seine.store import read_table
 
@@ -74,7 +74,7 @@ def read_file_range(spark, sf_dir):
 
 @query(f"WITH {CHUNKS} SELECT file_path, count(*) AS chunk_count FROM chunks GROUP BY file_path")
 def list_indexed_files(spark, sf_dir):
-    return chunks(spark, sf_dir).groupBy("file_path").agg(F.count("*").alias("chunk_count"))
+    return retrieve.indexed_files(chunks(spark, sf_dir))
 
 
 @query(f"WITH {FILES} SELECT file_path, CAST(strlen(regexp_replace(content, '[ \\t\\n\\r\\f]', '', 'g')) AS BIGINT) AS ink, CAST(ceil(strlen(content) / 4.0) AS BIGINT) AS tokens FROM files")
@@ -82,16 +82,17 @@ def text_sizes(spark, sf_dir):
     return files(spark, sf_dir).select("file_path", X.ink(F.col("content")).alias("ink"), X.approx_tokens(F.col("content")).alias("tokens"))
 
 
-@query(f"WITH {FILES} SELECT file_path FROM files WHERE file_path LIKE '%/en/%' AND regexp_matches(file_path, '^src1[0-9]*/en/[^/]*$') ORDER BY file_path LIMIT 100")
+@query(f"WITH {FILES} SELECT file_path FROM files WHERE file_path LIKE '%/en/%' AND regexp_matches(file_path, '^src1[^/]*/en/[^/]*[05]\\.txt$') ORDER BY file_path LIMIT 100")
 def list_files_by_glob(spark, sf_dir):
-    """Glob src1*/en/*; a listing of 100 is the feature."""
-    return files(spark, sf_dir).where(F.col("file_path").rlike("^src1[0-9]*/en/[^/]*$")).select("file_path").orderBy("file_path").limit(100)
+    """A listing of 100 is the feature."""
+    return retrieve.list_files(files(spark, sf_dir), "src1*/en/*[05].txt", 100)
 
 
 @query(f"WITH {FILES}, {tokens_sql('files', 'doc_id', 'content')} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t_files GROUP BY token")
 def code_tokenizer(spark, sf_dir):
-    found = files(spark, sf_dir).select("doc_id", F.explode(X.code_tokens(F.col("content"))).alias("token"))
-    return found.groupBy("doc_id", "token").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
+    """How often and in how many documents each token stands; words are split once a document."""
+    found = retrieve.postings(files(spark, sf_dir), "doc_id", {"content": X.code_words(F.col("content"))}, X.word_tokens)
+    return found.groupBy(F.col("term").alias("token")).agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
 NAMES = "names AS (SELECT p_partkey, p_type || '_' || p_name AS name FROM part)"
@@ -192,8 +193,7 @@ SELECT doc_id, CAST(min(ord) AS INT) AS rule FROM documents JOIN r ON (tool = '*
 )
 def filter_rule_matching(spark, sf_dir):
     """The first matching rule of a fixed list wins; rules are tested in the row, not joined."""
-    lines = F.size(F.split("text", "\n", -1))
-    rule = F.coalesce(*[F.when(((F.col("source") == t) | F.lit(t == "*")) & F.col("text").rlike(p) & (lines >= n), k) for k, t, p, n in _RULES])
+    rule = X.first_rule(_RULES, F.col("source"), F.col("text"))
     return read_table(spark, sf_dir, "documents").select("doc_id", rule.alias("rule")).where("rule is not null")
 
 
@@ -213,14 +213,27 @@ def embed_text(spark, sf_dir):
     return corpus.embed_text(chunks(spark, sf_dir)).select("chunk_id", F.md5("embed_text").alias("digest"))
 
 
+_BEFORE, _AFTER = ["src/", "tests/", "lib/spec/", "docs/", "bin/", "x/test_", "Fixtures/", "a/__init__.py/", ""], [".py", "_test.go", ".md", ".test.ts", ".png", ".rs", "_spec.rb"]
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
 @query(
-    """WITH p AS (SELECT url FROM pages), m AS (SELECT url, lower(url) AS u FROM p)
-SELECT url, regexp_matches(u, '(^|/)(tests?|__tests__|spec|specs|testing|fixtures)/') AS in_test_dir,
-regexp_matches(u, '\\.(md|markdown|rst|adoc|txt|html?|pdf)$') AS is_doc FROM m"""
+    rf"""WITH p AS (SELECT {_LIST(_BEFORE)}[doc_id % {len(_BEFORE)} + 1] || CASE WHEN doc_id % 11 = 0 THEN 'main' ELSE 'f' || doc_id END || {_LIST(_AFTER)}[doc_id % {len(_AFTER)} + 1] AS path FROM documents),
+m AS (SELECT DISTINCT path, lower(path) AS low, regexp_extract(path, '[^/]*$') AS name FROM p)
+SELECT path, regexp_matches(low, '(^|/)(tests?|__tests__|spec|specs|testing|fixtures)/') OR regexp_matches(low, '(_test|_spec|\.test|\.spec)\.[a-z]+$') OR starts_with(name, 'test_') AS test,
+regexp_matches(name, '^test_|_test\.|\.test\.|\.spec\.|_spec\.|Test\.java$|Tests?\.cs$') OR regexp_matches(path, '(^|/)(tests|__tests__|spec)/') AS maps,
+contains(path, '/test') OR starts_with(path, 'test') OR regexp_matches(name, '_test\.|\.test\.|\.spec\.|^test_') AS orphan,
+name IN ('main.py', 'main.rs', 'main.go') OR regexp_matches(name, '^main[._]') OR regexp_matches(path, '(^|/)(bin|scripts|examples|benches)/') AS entry,
+regexp_matches(lower(name), '\.(md|markdown|rst|adoc|txt|html?|pdf)$') AS doc, regexp_matches(low, '\.(png|jpe?g|gif|svg|ico|css|scss|woff2?|ttf|json|lock|map)$') AS asset,
+NOT regexp_matches(low, '\.png$') AS indexable FROM m"""
 )
 def path_predicates(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select(
-        "url",
-        F.lower("url").rlike(r"(^|/)(tests?|__tests__|spec|specs|testing|fixtures)/").alias("in_test_dir"),
-        F.lower("url").rlike(r"\.(md|markdown|rst|adoc|txt|html?|pdf)$").alias("is_doc"),
-    )
+    """Every predicate on paths made of usual folders, names and endings."""
+    d = F.col("doc_id")
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (d % len(names)).cast("int"))
+    made = F.concat(pick(_BEFORE), F.when(d % 11 == 0, "main").otherwise(F.concat(F.lit("f"), d.cast("string"))), pick(_AFTER))
+    p = F.col("path")
+    return read_table(spark, sf_dir, "documents").select(made.alias("path")).distinct().select(
+        "path", X.ranks_as_test(p).alias("test"), X.maps_as_test(p).alias("maps"), X.orphan_test(p).alias("orphan"),
+        X.entry_point(p).alias("entry"), X.doc_file(p).alias("doc"), X.asset_file(p).alias("asset"), X.indexable(p).alias("indexable"),
+    )

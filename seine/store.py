@@ -60,6 +60,23 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """What build() gives, written once for `source` (a path) as it is now, and reread by every later call.
+
+    The files' times and sizes are part of the key: a changed source is built anew.
+    """
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    state = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = (spark.sparkContext.applicationId, name, source, state.getModificationTime(), state.getLen())
+    if key not in _STORED:
+        _STORED[key] = durable(build(), name)
+    return _STORED[key]
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table made by `durable` that nothing reads any more."""
     path = getattr(df, "_seine_path", None)
@@ -70,6 +87,7 @@ def release(df: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete all tables that `durable` has written in this application; results not yet read are lost."""
     _delete(spark, _app_folder(spark))
+    _STORED.clear()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
