@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,14 @@ def type_relations(symbols: DataFrame) -> DataFrame:
     return symbols.select("name", F.explode(each).alias("r")).select("name", "r.*").where("target <> ''").distinct()
 
 
+def function_complexity(files: DataFrame, symbols: DataFrame, least: int = 1) -> DataFrame:
+    """(file_path, name, line, line_end, cc, band) of every function and method, by the branch words of its lines."""
+    own = symbols.where("kind in ('function', 'method')").select("file_path", "name", "line", "line_end")
+    cut = F.array_join(F.slice(F.split("content", "\n", -1), F.col("line") + 1, F.col("line_end") - F.col("line") + 1), "\n")
+    found = own.join(files.select("file_path", "content"), "file_path").withColumn("cc", X.complexity(cut)).where(F.col("cc") >= least)
+    return found.select("file_path", "name", "line", "line_end", "cc", X.complexity_band(F.col("cc")).alias("band"))
+
+
 # Filters over results.
 
 DOC_LANGUAGES = ("markdown", "html", "rst", "asciidoc", "plaintext")
@@ -203,6 +212,53 @@ def feature_hub(core: DataFrame, edges: DataFrame, tests: DataFrame) -> DataFram
     return every.groupBy("file_path").agg(F.min("r").alias("r")).select("file_path", "r.role")
 
 
+def review_context(changed: DataFrame, edges: DataFrame, tests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_path, role, symbols) for a review: changed files, their direct callers and their tests, with the public names that each defines.
+
+    A file has the first role that fits; `changed` has file_path, `tests` (test, source).
+    """
+    c = changed.select("file_path").distinct()
+    own = graph.real(edges)
+    callers = own.join(c, own["dst"] == c["file_path"]).select(F.col("src").alias("file_path"))
+    covering = tests.join(c, tests["source"] == c["file_path"]).select(F.col("test").alias("file_path"))
+    every = reduce(
+        DataFrame.unionByName,
+        [df.select("file_path", F.struct(F.lit(n).alias("n"), F.lit(role).alias("role")).alias("r")) for n, role, df in ((0, "changed", c), (1, "test", covering), (2, "caller", callers))],
+    )
+    names = symbols.where("visibility = 'public' and kind <> 'import'").groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("symbols"))
+    found = every.groupBy("file_path").agg(F.min("r").alias("r")).join(names, "file_path", "left")
+    return found.select("file_path", "r.role", F.coalesce("symbols", F.lit("")).alias("symbols"))
+
+
+def symbols_of_projects(projects: dict[str, DataFrame], name: str) -> DataFrame:
+    """(project, name, kind, file_path, line): the symbols of every project whose name holds a text, any case."""
+    found = [s.where(F.lower("name").contains(name.lower())).select(F.lit(p).alias("project"), "name", "kind", "file_path", "line") for p, s in projects.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_tools(tools: DataFrame, aliases: dict[str, list[str]], query: str) -> DataFrame:
+    """(name, description, hit) of tools: those with an alias in the query first (hit 0), then those that hold a word of it (hit 1)."""
+    asked = query.lower()
+    words = [w for w in asked.split() if len(w) > 2]
+    long = {w for w in words if len(w) > 3}
+    named = [t for t, phrases in aliases.items() if any(p in asked or long & set(p.split()) for p in phrases)]
+    text = F.concat_ws("\n", F.lower("name"), F.lower("description"))
+    holds = reduce(lambda a, b: a | b, [text.contains(w) for w in [*words, asked]])
+    return tools.select("name", "description", F.when(F.col("name").isin(named), 0).when(holds, 1).alias("hit")).where("hit is not null")
+
+
+def token_savings(files: DataFrame, results: DataFrame, literal: str) -> DataFrame:
+    """One row: bytes and tokens of reading every file that holds a literal whole, of the search's results, and what is saved.
+
+    The naive way greps and reads; tokens are bytes / 4, rounded up a text.
+    """
+    size = lambda df, kind: df.agg(
+        F.count("*").alias(f"{kind}_texts"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias(f"{kind}_bytes"), F.coalesce(F.sum(X.approx_tokens(F.col("content"))), F.lit(0)).alias(f"{kind}_tokens")
+    )
+    both = size(files.where(F.col("content").contains(literal)), "naive").join(F.broadcast(size(results, "search")), F.lit(True))  # one row each
+    return both.withColumn("saved", F.when(F.col("naive_tokens") > 0, F.round(1 - F.col("search_tokens") / F.col("naive_tokens"), 6)))
+
+
 # Outside documents and changes.
 
 

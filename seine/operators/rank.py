@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
-from seine.operators.graph import real
-
-
+from seine.operators.graph import nodes_of, pagerank, real
+from seine.store import durable
 
 
 def by_score(*more: str) -> list[Column]:
@@ -60,6 +59,16 @@ def graph_boost(results: DataFrame, ranks: DataFrame, weight: float = 0.3) -> Da
     return results.join(own, "file_path", "left").withColumn("score", F.col("score") * (1 + weight * F.coalesce("_rank", F.lit(0.0)))).drop("_rank")
 
 
+def personalized_boost(results: DataFrame, edges: DataFrame, seeds: int = 5, weight: float = 0.3, **options) -> DataFrame:
+    """x (1 + weight * rank of the file), ranks personalised to the files of the `seeds` best results, by their summed scores.
+
+    Without a seed in the graph the results stay as they are.  `options` go to `pagerank`.
+    """
+    asked = results.orderBy(*by_score()).limit(seeds).groupBy(F.col("file_path").alias("node")).agg(F.sum("score").alias("weight"))
+    asked = durable(asked.join(nodes_of(real(edges)), "node", "left_semi").where("weight > 0"), "seeds")
+    return results if asked.isEmpty() else graph_boost(results, pagerank(edges, asked, **options), weight)
+
+
 def popularity_boost(results: DataFrame, edges: DataFrame) -> DataFrame:
     """x (1 + .05 ln c) for c > 3 distinct callers of the file."""
     callers = real(edges).groupBy(F.col("dst").alias("file_path")).agg(F.count("*").alias("_c"))
@@ -106,6 +115,13 @@ def definition_boost(results: DataFrame, symbols: DataFrame, terms: list[str]) -
     return found.withColumn("score", F.col("score") * factor).drop("_level", "_has")
 
 
+def defining_files_boost(results: DataFrame, symbols: DataFrame, terms: list[str], factor: float = 3.5) -> DataFrame:
+    """x 3.5 for every result of a file that defines a term; the boost of the first pass, by file."""
+    lower = [t.lower() for t in terms]
+    own = symbols.where(F.lower("name").isin(lower) & (F.col("kind") != "import")).select("file_path", F.lit(True).alias("_def")).distinct()
+    return results.join(own, "file_path", "left").withColumn("score", F.col("score") * F.when(F.col("_def"), factor).otherwise(1.0)).drop("_def")
+
+
 def visibility_boost(results: DataFrame, symbols: DataFrame) -> DataFrame:
     """x 1.5 if a public symbol begins in the chunk."""
     own = symbols.where("visibility = 'public'").select(F.col("file_path").alias("_f"), F.col("line").alias("_l"))
@@ -175,14 +191,16 @@ def truncate_at_cliff(results: DataFrame, least: int = 3, drop: float = 0.35) ->
 
 
 def _fold(results: DataFrame, keep: Callable) -> DataFrame:
-    """Per file, in score order, keep(row, kept rows) decides; a group is one file's results."""
+    """Per file, in order of score, line and chunk, keep(row, kept rows) decides; a group is one file's results."""
 
     def run(pdf):
-        rows = pdf.sort_values(["score", "line_start"], ascending=[False, True])
+        rows = pdf.sort_values(["score", "line_start", "chunk_id"], ascending=[False, True, True])
         kept: list = []
+        held: list = []
         for i, row in enumerate(rows.itertuples()):
-            if keep(row, [rows.iloc[j] for j in kept]):
+            if keep(row, held):
                 kept.append(i)
+                held.append(row)
         return rows.iloc[kept]
 
     return results.groupBy("file_path").applyInPandas(run, results.schema)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
-from seine.operators import corpus, engine, graph, symbols
+from seine.operators import corpus, engine, graph, retrieve, symbols
 from seine.queries import query
-from seine.queries.text import FILES, files, tokens_sql
+from seine.queries.graphs import rank_ctes
+from seine.queries.text import CHUNKS, FILES, chunks, files
 from seine.sources import code, docs
 from seine.store import read_table
 
@@ -33,9 +34,30 @@ def _values(rows: str, names: str) -> str:
     return f"SELECT * FROM (VALUES {rows}) t({names})"
 
 
-@query()
+#: (file, name, kind, first line, signature, visibility, doc) by reading the tree.
+_SYMBOLS = """('go/server.go', 'Server', 'struct', 4, 'type Server struct {', 'public', NULL),
+('go/server.go', 'Start', 'function', 7, 'func (s *Server) Start() {', 'public', NULL),
+('py/helpers.py', 'slug', 'function', 0, 'def slug(s):', 'public', NULL),
+('py/utils.py', 'Box', 'class', 9, 'class Box:', 'public', NULL),
+('py/utils.py', '_hide', 'method', 10, 'def _hide(self):', 'private', NULL),
+('py/utils.py', 'title', 'function', 4, 'def title(s):', 'public', 'Upper case.'),
+('src/engine.rs', 'helper', 'function', 8, 'fn helper(n: u32) -> u32 {', 'private', NULL),
+('src/engine.rs', 'run_engine', 'function', 3, 'pub fn run_engine(n: u32) -> u32 {', 'public', 'Runs all.'),
+('src/main.rs', 'engine', 'module', 0, 'mod engine;', 'private', NULL),
+('src/main.rs', 'main', 'function', 3, 'fn main() {', 'private', NULL),
+('src/parser.rs', 'Parser', 'impl', 5, 'impl Parser {', 'private', NULL),
+('src/parser.rs', 'Parser', 'struct', 1, 'pub struct Parser {', 'public', 'A parser.'),
+('src/parser.rs', 'new', 'function', 6, 'pub fn new() -> Self {', 'public', NULL),
+('src/parser.rs', 'parse_data', 'function', 11, 'pub fn parse_data() -> u32 {', 'public', NULL),
+('src/parser.rs', 'unused_func', 'function', 15, 'fn unused_func() {}', 'private', NULL),
+('tests/test_utils.py', 'test_title', 'function', 3, 'def test_title():', 'public', NULL),
+('web/foo.ts', 'foo', 'function', 0, 'export function foo(n: number) {', 'public', NULL),
+('web/index.ts', 'App', 'class', 3, 'export class App {', 'public', NULL)"""
+
+
+@query(_values(_SYMBOLS, "file_path, name, kind, line, signature, visibility, doc"))
 def symbol_extraction(spark, sf_dir):
-    return code.symbols(repo(spark))
+    return code.symbols(repo(spark)).drop("line_end")
 
 
 @query(
@@ -67,7 +89,19 @@ def doc_edges(spark, sf_dir):
     return symbols.unique_targets(names, code.symbols(own))
 
 
-@query()
+@query(
+    _values(
+        """('foo', 'web/index.ts', 4, NULL, 'web/foo.ts'),
+('helper', 'src/engine.rs', 5, 'run_engine', 'src/engine.rs'),
+('new', 'src/engine.rs', 4, 'run_engine', 'src/parser.rs'),
+('parse_data', 'src/main.rs', 4, 'main', 'src/parser.rs'),
+('run_engine', 'src/main.rs', 5, 'main', 'src/engine.rs'),
+('slug', 'py/utils.py', 6, 'title', 'py/helpers.py'),
+('title', 'py/utils.py', 11, '_hide', 'py/utils.py'),
+('title', 'tests/test_utils.py', 4, 'test_title', 'py/utils.py')""",
+        "callee, file_path, line, caller, target",
+    )
+)
 def symbol_graph(spark, sf_dir):
     return code.symbol_edges(repo(spark))
 
@@ -78,15 +112,27 @@ def markdown_sections(spark, sf_dir):
     return found.select("file_path", F.col("section").cast("int").alias("section"), F.col("level").cast("int").alias("level"), F.array_join("path", "/").alias("path"))
 
 
-@query(_values("('tests/test_utils.py', 'py/utils.py', 0.95)", "test, source, confidence"))
+#: More tests, one for each rule: same folder, elsewhere with no and with two shared folders, and an import of another stem.
+TESTED = {"a/one.go": "", "a/one_test.go": "", "lib/two.rb": "", "spec/two_spec.rb": "", "p/q/three.ts": "", "p/q/__tests__/three.test.ts": "", "py/four.py": "", "tests/test_five.py": "from py.four import x\n"}
+
+
+@query(
+    _values(
+        "('tests/test_utils.py', 'py/utils.py', 0.95), ('a/one_test.go', 'a/one.go', 0.9), ('spec/two_spec.rb', 'lib/two.rb', 0.7), ('p/q/__tests__/three.test.ts', 'p/q/three.ts', 0.8), ('tests/test_five.py', 'py/four.py', 0.95)",
+        "test, source, confidence",
+    )
+)
 def test_mapping(spark, sf_dir):
-    own = repo(spark).where("file_path not like '%.md'")
-    return symbols.map_tests(own, X.maps_as_test(F.col("file_path")), code.import_edges(own).where("kind = 'Resolved'").select("src", "dst"))
+    own = spark.createDataFrame(sorted((REPO | TESTED).items()), "file_path string, content string").where("file_path not like '%.md'")
+    found = symbols.map_tests(own, X.maps_as_test(F.col("file_path")), code.import_edges(own).where("kind = 'Resolved'").select("src", "dst"))
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
-@query(_values("('src/engine.rs', 1, 'none'), ('src/main.rs', 1, 'none')", "file_path, occurrences, hazard"))
+@query(_values("('src/engine.rs', 1, 'none'), ('src/main.rs', 1, 'none'), ('src/a.rs', 2, 'collision'), ('src/b.rs', 1, 'shadowing')", "file_path, occurrences, hazard"))
 def rename_validation(spark, sf_dir):
-    own = repo(spark).where("file_path like '%.rs'")
+    """One file of the new name's definition, one that mentions it, and two without."""
+    more = {"src/a.rs": "fn start_engine() {\n    run_engine(run_engine(1));\n}\n", "src/b.rs": "fn go(start_engine: u32) {\n    run_engine(start_engine);\n}\n", "src/c.rs": "fn other() {\n    run_engine_twice();\n}\n"}
+    own = spark.createDataFrame(sorted((REPO | more).items()), "file_path string, content string").where("file_path like '%.rs'")
     return symbols.rename_hazards(own, code.symbols(own), "run_engine", "start_engine")
 
 
@@ -95,9 +141,12 @@ def rename_apply(spark, sf_dir):
     return symbols.rename(files(spark, sf_dir), "the", "THE_NEW").select("file_path", F.md5("content").alias("digest"))
 
 
-@query()
+_TREE = """re AS (SELECT * FROM (VALUES ('src/main.rs', 'src/engine.rs'), ('src/main.rs', 'src/parser.rs'), ('src/engine.rs', 'src/parser.rs'), ('web/index.ts', 'web/foo.ts'), ('py/utils.py', 'py/helpers.py'), ('tests/test_utils.py', 'py/utils.py')) t(src, dst)), rn AS (SELECT src AS node FROM re UNION SELECT dst FROM re UNION SELECT 'go/server.go')"""
+
+
+@query(f"WITH {_TREE}, {rank_ctes(20, '1.0 / (SELECT count(*) FROM rn)')} SELECT node, round(rank / (SELECT max(rank) FROM r20), 6) AS rank FROM r20")
 def import_graph_pagerank(spark, sf_dir):
-    return graph.pagerank(code.import_edges(repo(spark)))
+    return graph.pagerank(code.import_edges(repo(spark)), tolerance=0.0).withColumn("rank", F.round("rank", 6))
 
 
 @query()
@@ -108,7 +157,7 @@ def html_sections(spark, sf_dir):
 
 @query()
 def stemmed_tokens(spark, sf_dir):
-    """Distinct tokens with their stems."""
+    """Distinct tokens with their stems; the rules are those of English, so the English files are the input."""
     found = files(spark, sf_dir).where("lang = 'en'").select(F.explode(X.code_tokens(F.col("content"))).alias("token")).distinct()
     return docs.stems(found)
 
@@ -126,21 +175,23 @@ def notebook_cells(spark, sf_dir):
     return corpus.notebook_cells(books).select(F.col("file_path").alias("nb"), "cell", "cell_type", F.md5("source").alias("digest"))
 
 
-_EN = f"WITH {FILES}, en AS (SELECT * FROM files WHERE lang = 'en'), {tokens_sql('en', 'doc_id', 'content')}"
-
-
-@query(f"{_EN} SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS vocabulary FROM t_en GROUP BY doc_id")
+@query(
+    f"""WITH {CHUNKS}, n AS (SELECT count(*) AS t, sum(strlen(content)) AS b, sum(ceil(strlen(content) / 4.0)) AS k FROM files WHERE contains(content, 'the er')),
+h AS (SELECT content, CAST((length(content) - length(replace(content, 'the er', ''))) / 6 AS BIGINT) AS score, file_path, line_start FROM chunks WHERE contains(content, 'the er') ORDER BY score DESC, file_path, line_start LIMIT 20),
+s AS (SELECT count(*) AS t, sum(strlen(content)) AS b, sum(ceil(strlen(content) / 4.0)) AS k FROM h)
+SELECT n.t AS naive_texts, CAST(n.b AS BIGINT) AS naive_bytes, CAST(n.k AS BIGINT) AS naive_tokens, s.t AS search_texts, CAST(s.b AS BIGINT) AS search_bytes, CAST(s.k AS BIGINT) AS search_tokens, round(1 - s.k / n.k, 6) AS saved FROM n, s"""
+)
 def token_savings(spark, sf_dir):
-    """Tokens and vocabulary of each English file: what a search result saves over reading it all."""
-    found = files(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(X.code_tokens(F.col("content"))).alias("token"))
-    per = found.groupBy("doc_id", "token").count()
-    return per.groupBy("doc_id").agg(F.sum("count").alias("tokens"), F.count("*").alias("vocabulary"))
+    """Reading every file that holds a literal against the twenty best chunks."""
+    hits = retrieve.exact(chunks(spark, sf_dir), "the er").orderBy(F.desc("score"), "file_path", "line_start").limit(20)
+    found = chunks(spark, sf_dir).join(hits.select("chunk_id"), "chunk_id", "left_semi")
+    return engine.token_savings(files(spark, sf_dir), found, "the er")
 
 
 # Compositions.
 
 
-@query()
+@query("SELECT 'parse_data' AS name, 'src/parser.rs' AS file_path, 'pub fn parse_data() -> u32 {' || chr(10) || '    0' || chr(10) || '}' || chr(10) AS source")
 def read_symbol_source(spark, sf_dir):
     return engine.symbol_source(repo(spark), code.symbols(repo(spark)), "parse_d")
 
@@ -159,11 +210,51 @@ def git_sync(spark, sf_dir):
     return engine.git_changes(spark.createDataFrame(rows, "status string, old string, new string"))
 
 
-@query(_values("('src/engine.rs', 'caller'), ('src/parser.rs', 'core'), ('src/main.rs', 'caller')", "file_path, role"))
+def _tests(own):
+    """(test, source) by the mapping's rules."""
+    return symbols.map_tests(own, X.maps_as_test(F.col("file_path")), code.import_edges(own).where("kind = 'Resolved'").select("src", "dst")).select("test", "source")
+
+
+@query(_values("('src/engine.rs', 'core'), ('src/parser.rs', 'callee'), ('src/main.rs', 'caller'), ('py/utils.py', 'core'), ('py/helpers.py', 'callee'), ('tests/test_utils.py', 'caller'), ('py/test_utils.py', 'test')", "file_path, role"))
 def feature_hub(spark, sf_dir):
+    """Every role; a test that imports a core file is its caller first."""
+    own = spark.createDataFrame(sorted((REPO | {"py/test_utils.py": ""}).items()), "file_path string, content string")
+    return engine.feature_hub(own.where("file_path in ('src/engine.rs', 'py/utils.py')"), code.import_edges(own), _tests(own.where("file_path not like '%.md'")))
+
+
+@query(_values("('src/parser.rs', 'changed', 'Parser, new, parse_data'), ('py/utils.py', 'changed', 'Box, title'), ('tests/test_utils.py', 'test', 'test_title'), ('src/main.rs', 'caller', ''), ('src/engine.rs', 'caller', 'run_engine')", "file_path, role, symbols"))
+def review_context(spark, sf_dir):
     own = repo(spark)
-    tests = spark.createDataFrame([], "test string, source string")
-    return engine.feature_hub(own.where("file_path = 'src/parser.rs'"), code.import_edges(own), tests)
+    changed = own.where("file_path in ('src/parser.rs', 'py/utils.py')")
+    return engine.review_context(changed, code.import_edges(own), _tests(own.where("file_path not like '%.md'")), code.symbols(own))
+
+
+@query(_values("('py/utils.py', 'classify', 0, 10, 8, 'moderate'), ('py/utils.py', 'plain', 12, 13, 1, 'low')", "file_path, name, line, line_end, cc, band"))
+def function_complexity(spark, sf_dir):
+    """Branch words of each function: three ifs, two of them after an else, a for, a while, a case and an or."""
+    text = "def classify(x):\n    if x:\n        return 1\n    else if y:\n        pass\n    for i in x:\n        while x || y:\n            pass\n    case x:\n        pass\n    return 0\n\ndef plain(x):\n    return x\n"
+    files_ = spark.createDataFrame([("py/utils.py", text)], "file_path string, content string")
+    rows = [("py/utils.py", "classify", "function", 0, 10), ("py/utils.py", "plain", "function", 12, 13), ("py/utils.py", "Box", "class", 0, 13)]
+    return engine.function_complexity(files_, spark.createDataFrame(rows, "file_path string, name string, kind string, line int, line_end int"))
+
+
+@query(_values("('one', 'parse_data', 'function', 'src/parser.rs', 11), ('one', 'Parser', 'struct', 'src/parser.rs', 1), ('one', 'Parser', 'impl', 'src/parser.rs', 5), ('two', 'Parser', 'struct', 'src/parser.rs', 1), ('two', 'Parser', 'impl', 'src/parser.rs', 5), ('two', 'parse_data', 'function', 'src/parser.rs', 11), ('two', 'sparse', 'function', 'x.py', 0)", "project, name, kind, file_path, line"))
+def federated_symbols(spark, sf_dir):
+    """The same name looked up in two projects."""
+    two = spark.createDataFrame(sorted((REPO | {"x.py": "def sparse():\n    pass\n"}).items()), "file_path string, content string")
+    return engine.symbols_of_projects({"one": code.symbols(repo(spark)), "two": code.symbols(two)}, "parse")
+
+
+@query(_values("('py/utils.py', 'py/helpers.py', 'helpers', 0, 'from helpers import slug'), ('tests/test_utils.py', 'py/utils.py', 'py.utils', 0, 'from py.utils import title')", "src, dst, raw, line, text"))
+def cross_import_evidence(spark, sf_dir):
+    own = repo(spark)
+    return graph.import_evidence(code.import_edges(own), own, "", "py/")
+
+
+@query(_values("('callers', 'Who calls a function.', 0), ('impact', 'What a change may break.', 1)", "name, description, hit"))
+def tool_search(spark, sf_dir):
+    tools = spark.createDataFrame([("callers", "Who calls a function."), ("impact", "What a change may break."), ("grep", "Lines that match.")], "name string, description string")
+    return engine.search_tools(tools, {"callers": ["who uses", "usages of"], "grep": ["find text"]}, "Who uses what may change")
 
 
 @query(_values("('test', 'tests/test_utils.py'), ('test', 'tests/test_utils.py'), ('call', 'py/utils.py')", "kind, file_path").replace("('test', 'tests/test_utils.py'), ('test', 'tests/test_utils.py')", "('test', 'tests/test_utils.py')"))
@@ -171,12 +262,16 @@ def usage_examples(spark, sf_dir):
     return engine.usage_examples(repo(spark), "title").select("kind", "file_path")
 
 
-@query()
+@query(
+    f"""WITH {_TREE}, {rank_ctes(20, "CASE node WHEN 'src/engine.rs' THEN 1 / 1.7 WHEN 'py/utils.py' THEN 0.7 / 1.7 ELSE 0 END")}
+SELECT node, round(rank / (SELECT max(rank) FROM r20), 5) AS rank, CASE WHEN node IN ('src/engine.rs', 'py/utils.py') THEN 'seed' WHEN node IN ('src/main.rs', 'tests/test_utils.py') THEN 'caller'
+WHEN node IN ('src/parser.rs', 'py/helpers.py') THEN 'callee' ELSE 'related' END AS relation FROM r20"""
+)
 def focus_map(spark, sf_dir):
-    return engine.focus_map(code.import_edges(repo(spark)), ["src/engine.rs", "py/utils.py"])
+    return engine.focus_map(code.import_edges(repo(spark)), ["src/engine.rs", "py/utils.py"]).withColumn("rank", F.round("rank", 5))
 
 
-@query()
+@query(_values("('D', 'extends', 'Base'), ('P', 'implements', 'Shape'), ('X', 'extends', 'Y'), ('X', 'implements', 'Z')", "name, relation, target"))
 def type_relations(spark, sf_dir):
     rows = [("P", "impl Shape for P"), ("D", "class D(Base)"), ("X", "class X extends Y implements Z"), ("f", "fn f()")]
     return engine.type_relations(spark.createDataFrame(rows, "name string, signature string"))
@@ -235,15 +330,28 @@ def find_similar(spark, sf_dir):
     return search(engine.similar_query(one), 11).where(~F.col("file_path").endswith("/doc_2.txt")).select("chunk_id", "score")
 
 
-@query()
+@query(
+    f"""WITH {_TREE}, {rank_ctes(20, '1.0 / (SELECT count(*) FROM rn)')}, l AS (SELECT * FROM re UNION ALL SELECT * FROM (VALUES ('web/index.ts', '__ext__:react'), ('py/utils.py', '__ext__:os'), ('go/server.go', '__ext__:net/http')) t(src, dst))
+SELECT node AS file_path, '# ' || node || chr(10) || chr(10) || 'pagerank: ' || format('{{:.4f}}', rank / (SELECT max(rank) FROM r20)) || chr(10) || chr(10) || coalesce((SELECT string_agg('- [[' || dst || ']]', chr(10) ORDER BY dst) FROM l WHERE src = node), '') AS note FROM r20"""
+)
 def obsidian_notes(spark, sf_dir):
     from seine.operators import assemble
 
     own = code.import_edges(repo(spark))
-    return assemble.notes(graph.pagerank(own), own)
+    return assemble.notes(graph.pagerank(own, tolerance=0.0), own)
 
 
-@query()
+@query(
+    _values(
+        """('README.md', 0, 8), ('README.md', 8, 14),
+('go/server.go', 0, 4),
+('go/server.go', 4, 7),
+('go/server.go', 7, 11), ('py/helpers.py', 0, 3), ('py/utils.py', 0, 4), ('py/utils.py', 4, 10), ('py/utils.py', 10, 13), ('src/engine.rs', 0, 3), ('src/engine.rs', 3, 8), ('src/engine.rs', 8, 12),
+('src/main.rs', 0, 3),
+('src/main.rs', 3, 8), ('src/parser.rs', 0, 6), ('src/parser.rs', 6, 11), ('src/parser.rs', 11, 15), ('src/parser.rs', 15, 17), ('tests/test_utils.py', 0, 3), ('tests/test_utils.py', 3, 6), ('web/foo.ts', 0, 4), ('web/index.ts', 0, 3), ('web/index.ts', 3, 7)""",
+        "file_path, line_start, line_end",
+    )
+)
 def code_chunks(spark, sf_dir):
     """Line ranges of each file of the tree, cut at its definitions."""
     small = 60

@@ -88,15 +88,19 @@ def shortest_path_lengths(spark, sf_dir):
     return graph.shortest_paths(edges(spark, sf_dir), "r/1", 5).select("node", (F.size("path") - 1).alias("steps"))
 
 
-def pagerank_sql(rounds: int, seeds: str | None, tail: str) -> str:
-    """PageRank as one materialised CTE a round."""
-    jump = "1.0 / (SELECT count(*) FROM rn)" if seeds is None else f"CASE WHEN node IN ({seeds}) THEN 1.0 / {seeds.count(',') + 1} ELSE 0 END"
-    sql = f"""WITH {REAL}, o AS MATERIALIZED (SELECT src, count(*) AS n FROM re GROUP BY src), lk AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / n AS share FROM re JOIN o USING (src)),
+def rank_ctes(rounds: int, jump: str) -> str:
+    """PageRank over re(src, dst) and rn(node) as one materialised CTE a round, ending in r<rounds>(node, rank)."""
+    sql = f"""o AS MATERIALIZED (SELECT src, count(*) AS n FROM re GROUP BY src), lk AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / n AS share FROM re JOIN o USING (src)),
 b AS MATERIALIZED (SELECT node, node NOT IN (SELECT src FROM o) AS dangling, CAST({jump} AS DOUBLE) AS jump FROM rn), r0 AS MATERIALIZED (SELECT node, jump AS rank FROM b)"""
     for i in range(rounds):
         sql += f""", f{i} AS MATERIALIZED (SELECT dst AS node, sum(rank * share) AS flow FROM r{i} JOIN lk ON src = node GROUP BY dst),
 r{i + 1} AS MATERIALIZED (SELECT b.node, jump * (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} JOIN b USING (node) WHERE dangling)) + 0.85 * coalesce(flow, 0) AS rank FROM b LEFT JOIN f{i} USING (node))"""
-    return sql + tail.format(r=f"r{rounds}")
+    return sql
+
+
+def pagerank_sql(rounds: int, seeds: str | None, tail: str) -> str:
+    jump = "1.0 / (SELECT count(*) FROM rn)" if seeds is None else f"CASE WHEN node IN ({seeds}) THEN 1.0 / {seeds.count(',') + 1} ELSE 0 END"
+    return f"WITH {REAL}, {rank_ctes(rounds, jump)}" + tail.format(r=f"r{rounds}")
 
 
 @query(pagerank_sql(10, None, " SELECT node, round(rank / (SELECT max(rank) FROM {r}), 6) AS rank FROM {r}"))
@@ -164,7 +168,11 @@ def node_removal(spark, sf_dir):
     return graph.without(own, gone).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EDGES}, re AS (SELECT DISTINCT src, dst FROM edges WHERE kind <> 'DocumentedBy' AND NOT starts_with(dst, '__ext__:')), rn AS (SELECT src AS node FROM re UNION SELECT dst FROM re),
+walk AS (SELECT node, 0 AS layer FROM rn WHERE node NOT IN (SELECT dst FROM re) UNION SELECT re.dst, layer + 1 FROM walk JOIN re ON re.src = walk.node)
+SELECT node, CAST(max(layer) AS INT) AS layer FROM walk GROUP BY node"""
+)
 def topological_layers(spark, sf_dir):
     own = edges(spark, sf_dir)
     return graph.layers(own.where("kind <> 'DocumentedBy'"))

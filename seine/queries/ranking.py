@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seine.functions import text as X
 from seine.operators import rank
 from seine.queries import query
+from seine.queries.graphs import rank_ctes
 from seine.queries.retrieval import bm25_sql, scores
 from seine.queries.text import CHUNKS, chunks, files
 from seine.store import read_table
@@ -81,6 +82,17 @@ def popularity_boost(spark, sf_dir):
     return _out(rank.popularity_boost(results(spark, sf_dir), edges(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {RES}, {EDGES}, re AS (SELECT src, dst FROM edges), rn AS (SELECT src AS node FROM re UNION SELECT dst FROM re),
+sd AS MATERIALIZED (SELECT file_path AS node, sum(score) AS w FROM (SELECT * FROM res ORDER BY score DESC, file_path, line_start LIMIT 5) WHERE file_path IN (FROM rn) GROUP BY file_path),
+{rank_ctes(6, "coalesce((SELECT w FROM sd WHERE sd.node = rn.node), 0) / (SELECT sum(w) FROM sd)")}
+SELECT chunk_id, round(score * (1 + 0.3 * coalesce(rank / (SELECT max(rank) FROM r6), 0)), 6) AS score FROM res LEFT JOIN r6 ON node = file_path"""
+)
+def personalized_graph_boost(spark, sf_dir):
+    """Ranks personalised to the files of the five best results; six rounds."""
+    return _out(rank.personalized_boost(results(spark, sf_dir), edges(spark, sf_dir), rounds=6, tolerance=0.0))
+
+
 @query(f"WITH {RES}, {EDGES}, c AS (SELECT dst, count(*) / 10.0 AS c FROM edges GROUP BY dst) SELECT chunk_id, round(score * (1 + 0.3 * coalesce(c, 0)), 6) AS score FROM res LEFT JOIN c ON dst = file_path")
 def graph_boost(spark, sf_dir):
     ranks = edges(spark, sf_dir).distinct().groupBy(F.col("dst").alias("node")).agg((F.count("*") / 10).alias("rank"))
@@ -105,12 +117,11 @@ def path_match_boost(spark, sf_dir):
     return _out(rank.path_match_boost(results(spark, sf_dir), ["src1/en"], ["src15", "is"]))
 
 
-@query(f"WITH {RES} SELECT chunk_id, round(score * CASE WHEN contains(file_path, '/de/') OR score > 100 THEN 0.5 ELSE 1 END, 6) AS score FROM res")
+@query(f"WITH {RES} SELECT chunk_id, round(score * CASE WHEN contains(file_path, '/de/') OR file_path LIKE '%/fr/%7.txt' THEN 0.5 ELSE 1 END, 6) AS score FROM res")
 def conditional_demotion(spark, sf_dir):
-    """Demotion by a condition on path or score; `test_demotion` is the one for tests (see tests)."""
-    found = results(spark, sf_dir)
-    low = F.col("file_path").contains("/de/") | (F.col("score") > 100)
-    return _out(found.withColumn("score", F.col("score") * F.when(low, 0.5).otherwise(1.0)))
+    """Results of tests are halved; German files stand for those in a test folder, some French ones for those of a test's name."""
+    path = F.regexp_replace(F.replace("file_path", F.lit("/de/"), F.lit("/tests/")), r"(/fr/.*7)\.txt$", "$1_test.txt")
+    return _out(rank.test_demotion(results(spark, sf_dir).withColumn("file_path", path)))
 
 
 @query(
@@ -152,6 +163,11 @@ def definition_boost(spark, sf_dir):
     return _out(rank.definition_boost(results(spark, sf_dir), symbols(spark, sf_dir), ["N1", "n2"]))
 
 
+@query(f"WITH {RES}, {SYMS} SELECT chunk_id, round(score * CASE WHEN file_path IN (SELECT file_path FROM sy WHERE name IN ('n1', 'n2')) THEN 3.5 ELSE 1 END, 6) AS score FROM res")
+def first_pass_definition_boost(spark, sf_dir):
+    return _out(rank.defining_files_boost(results(spark, sf_dir), symbols(spark, sf_dir), ["N1", "n2"]))
+
+
 @query(
     f"WITH {RES}, {SYMS} SELECT chunk_id, round(score * CASE WHEN EXISTS (SELECT 1 FROM sy WHERE sy.file_path = res.file_path AND visibility = 'public' AND line >= line_start AND line < line_end) THEN 1.5 ELSE 1 END, 6) AS score FROM res"
 )
@@ -188,14 +204,33 @@ def band_merge(spark, sf_dir):
     return rank.band_merge(results(spark, sf_dir))
 
 
-@query()
+#: Each chunk of RES, and the same again shifted half-way down with a lower score: results that overlap.
+TWICE = RES + """, tw AS (SELECT chunk_id, file_path, line_start, line_end, score FROM res UNION ALL SELECT chunk_id || '+', file_path, line_start + 18, line_end + 18, score - 0.5 FROM res),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, line_start, chunk_id) AS n FROM tw)"""
+
+
+def _fold_sql(keep: str) -> str:
+    """A fold over the results of each file in rank order; kept is a list of what was kept, `keep` says whether q joins it."""
+    return f"""WITH RECURSIVE {TWICE}, fold AS (
+SELECT file_path, n, chunk_id, score, [{{'a': line_start, 'b': line_end, 's': score}}] AS kept, true AS stays FROM q WHERE n = 1
+UNION ALL SELECT q.file_path, q.n, q.chunk_id, q.score, CASE WHEN {keep} THEN list_append(kept, {{'a': q.line_start, 'b': q.line_end, 's': q.score}}) ELSE kept END, {keep}
+FROM fold JOIN q ON q.file_path = fold.file_path AND q.n = fold.n + 1) SELECT chunk_id, score FROM fold WHERE stays"""
+
+
+def _twice(spark, sf_dir):
+    own = results(spark, sf_dir).drop("content")
+    moved = own.select(F.concat("chunk_id", F.lit("+")).alias("chunk_id"), "file_path", (F.col("line_start") + 18).alias("line_start"), (F.col("line_end") + 18).alias("line_end"), (F.col("score") - 0.5).alias("score"))
+    return own.select(*moved.columns).unionByName(moved)
+
+
+@query(_fold_sql("len(list_filter(kept, lambda k: q.line_start < k.b AND k.a < q.line_end)) = 0"))
 def overlap_dedup(spark, sf_dir):
-    return rank.overlap_dedup(results(spark, sf_dir)).select("chunk_id", "score")
+    return rank.overlap_dedup(_twice(spark, sf_dir)).select("chunk_id", "score")
 
 
-@query()
+@query(_fold_sql("(q.score >= 0.7 * kept[1].s AND len(list_filter(kept, lambda k: abs(q.line_start - k.a) < 50)) = 0)"))
 def file_dedup(spark, sf_dir):
-    return rank.file_dedup(results(spark, sf_dir)).select("chunk_id", "score")
+    return rank.file_dedup(_twice(spark, sf_dir)).select("chunk_id", "score")
 
 
 @query(f"WITH {RES} SELECT chunk_id, md5('### ' || file_path || ':' || (line_start + 1) || '-' || line_end || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10)) AS digest FROM res")

@@ -122,15 +122,22 @@ def test_pagerank_against_numpy(spark):
     for _ in range(20):
         r = 0.15 / len(names) + 0.85 * (m / np.maximum(out, 1) @ r + r[out == 0].sum() / len(names))
     seeds = spark.createDataFrame([(names[0], 1.0), (names[3], 3.0), ("nowhere", 9.0)], "node string, weight double")
-    both = []
-    for limit in (0, 1000):  # distributed, and in one task
-        got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), tolerance=0.0, one_task=limit).collect()}
-        assert np.allclose([got[n] for n in names], r / r.max(), atol=1e-9)
-        alone = edges_of(spark, [("a", "b"), ("c", "__ext__:x")])  # c has no real edge, yet is a node
-        assert values(graph.pagerank(alone, one_task=limit), "node") == [("a",), ("b",), ("c",)]
-        own = graph.pagerank(edges_of(spark, pairs), seeds, rounds=5, tolerance=0.0, one_task=limit).collect()
-        both.append([x["rank"] for x in sorted(own, key=lambda x: x["node"])])
-    assert np.allclose(*both, atol=1e-9)
+    got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), tolerance=0.0).collect()}
+    assert np.allclose([got[n] for n in names], r / r.max(), atol=1e-9)
+    alone = edges_of(spark, [("a", "b"), ("c", "__ext__:x")])  # c has no real edge, yet is a node
+    assert values(graph.pagerank(alone), "node") == [("a",), ("b",), ("c",)]
+    jump = np.zeros(len(names))
+    jump[0], jump[3] = 0.25, 0.75
+    r = jump.copy()
+    for _ in range(5):
+        r = jump * (0.15 + 0.85 * r[out == 0].sum()) + 0.85 * (m / np.maximum(out, 1) @ r)
+    got = {x["node"]: x["rank"] for x in graph.pagerank(edges_of(spark, pairs), seeds, rounds=5, tolerance=0.0, relative=False).collect()}
+    assert np.allclose([got[n] for n in names], r, atol=1e-9)
+
+
+def test_layers_have_no_bound(spark):
+    chain = edges_of(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(52)])
+    assert values(graph.layers(chain), "node", "layer") == [(f"n{i:02}", i) for i in range(53)]
 
 
 def test_louvain_finds_two_cliques(spark):
@@ -153,8 +160,67 @@ def test_vectors(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
     codes, book = vectors.product_codes(base, 4, 8)
     assert codes.count() == 200 and book.shape == (4, 8, 4)
-    with pytest.raises(ValueError):
-        vectors.top_k(base, spark.range(vectors.MOST_QUERIES + 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("vector")), 1)
+
+
+def test_vectors_answer_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(y) for y in rng.integers(-1, 2, 3)]) for i in range(120)]  # few values: many ties
+    base = spark.createDataFrame(rows + [(500, None), (501, [1.0, None, 1.0]), (502, [1.0, 2.0]), (503, [])], "vec_id long, vector array<double>").repartition(3)
+    whole = values(vectors.top_k(base, base, 4), "query_id", "rank", "vec_id")
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 30)
+    assert values(vectors.top_k(base, base, 4), "query_id", "rank", "vec_id") == whole
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, v in rows}
+    want = []
+    for q in unit:
+        best = sorted((-round(float(unit[q] @ unit[i]), 12), i) for i in unit if i != q)[:4]
+        want += [(q, r, i) for r, (_, i) in enumerate(best)]
+    assert [x for x in whole if x[0] < 500] == want
+    assert [x[0] for x in whole if x[0] >= 500] == []  # 502 has no other vector of its length
+
+
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_approximate_searches_reach_nine_of_ten(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32)) + (6 * rng.normal(size=(20, 32))[rng.integers(0, 20, 3000)] if kind == "clusters" else 0)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>").cache()
+    asked = base.where("vec_id % 50 = 0")
+    exact = {(r[0], r[1]) for r in vectors.top_k(base, asked, 10).select("query_id", "vec_id").collect()}
+    index, centres = vectors.cell_index(base)
+    found = {(r[0], r[1]) for r in vectors.approximate_top_k(index, centres, asked, 10).select("query_id", "vec_id").collect()}
+    assert index.count() == 3000 and len(found & exact) >= 0.9 * len(exact)
+    nearest = {(int(q), int(i)) for q in range(0, 3000, 50) for i in ((x - x[q]) ** 2).sum(1).argsort()[:10]}
+    codes, book = vectors.product_codes(base)
+    found = {(r[0], r[1]) for r in vectors.quantized_top_k(codes, book, base, asked, 10).select("query_id", "vec_id").collect()}
+    assert len(found & nearest) >= 0.9 * len(nearest)
+
+
+def test_vectors_of_an_empty_table(spark):
+    none = spark.createDataFrame([(1, None)], "vec_id long, vector array<float>")
+    assert vectors.top_k(none, none, 3).count() == 0
+    codes, book = vectors.product_codes(none)
+    assert codes.count() == 0 and vectors.quantized_top_k(codes, book, none, none, 3).count() == 0
+    index, centres = vectors.cell_index(none)
+    assert index.count() == 0 and vectors.approximate_top_k(index, centres, none, 3).count() == 0
+
+
+def test_stored_index_and_parsed_queries(spark):
+    docs = spark.createDataFrame(
+        [(1, ["parseData"], ["fn", "parseData"]), (2, ["other"], ["uses", "parse", "and", "data"]), (3, ["Other"], ["nothing", "here"]), (4, [], ["data", "x.parse"])],
+        "id long, entity array<string>, content array<string>",
+    )
+    fields = {"entity": F.col("entity"), "content": F.col("content")}
+    index = retrieve.clustered(retrieve.postings(docs, "id", fields, X.word_tokens), "id").cache()
+    terms = {(r["field"], r["term"], r["id"]): (r["tf"], r["dl"]) for r in index.collect()}
+    assert terms["content", "parsedata", 1] == (1, 4) and terms["entity", "parse", 1] == (1, 3) and terms["content", "x.parse", 4] == (1, 4)
+    assert retrieve.parse('+parseData entity:other -"a b" x:y') == [
+        ("+", None, ["parse", "data", "parsedata"]), ("", "entity", ["other"]), ("-", None, ["a", "b"]), ("", None, ["x"]), ("", None, ["y"]),
+    ]
+    found = lambda q: [r["id"] for r in retrieve.search(index, "id", q).orderBy(F.desc("score"), "id").collect()]
+    assert found("parse data") == [1, 4, 2] or set(found("parse data")) == {1, 2, 4}
+    assert found("parseData")[0] == 1 and set(found("+parse -uses")) == {1, 4} and found("entity:other") == [2, 3] and found('"parse and"') == [2]
+    assert found('"nothing data"') == [] and found("") == [] and found("zzz") == []
+    plain = {r["id"]: r["score"] for r in retrieve.bm25(index, "id", ["parse", "data"], retrieve.BOOSTS).collect()}
+    assert {r["id"]: round(r["score"], 9) for r in retrieve.search(index, "id", "parse data").collect()} == {i: round(x, 9) for i, x in plain.items()}
 
 
 def test_rewrite():
