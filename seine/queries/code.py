@@ -322,7 +322,12 @@ def explore_search(spark, sf_dir):
     return engine.explore(hits, chunks(spark, sf_dir), ranks, own, 10).select("chunk_id", "score")
 
 
-@query()
+@query(
+    f"""WITH {CHUNKS}, one AS (SELECT regexp_extract_all(array_to_string(string_split(content, chr(10))[1:10], chr(10)), '[A-Za-z_][\\p{{L}}\\p{{N}}_]{{2,}}') AS words FROM files WHERE doc_id = 2),
+u AS (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM one), w AS (SELECT word, min(pos) AS pos FROM u GROUP BY word ORDER BY pos LIMIT 20),
+s AS (SELECT chunk_id, file_path, line_start, CAST(sum((length(content) - length(replace(content, word, ''))) / length(word)) AS DOUBLE) AS score FROM chunks, w GROUP BY ALL)
+SELECT chunk_id, score FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, file_path, line_start LIMIT 11) WHERE NOT ends_with(file_path, '/doc_2.txt')"""
+)
 def find_similar(spark, sf_dir):
     """Chunks like the first chunk of one file, itself left out."""
     search = _search(spark, sf_dir)

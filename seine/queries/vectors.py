@@ -50,7 +50,17 @@ def distances(spark, sf_dir):
     )
 
 
-@query()
+def _mmr_sql(steps: int) -> str:
+    """A CTE a step: n<i> has the candidates left with their nearness to what was picked, p<i> the pick."""
+    sql = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key, {_COS} AS rel FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+n0 AS MATERIALIZED (SELECT query_id, key, rel, o, 0.0::DOUBLE AS near FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, key) AS o FROM s) WHERE o <= 30)"""
+    for i in range(steps):
+        sql += f""", p{i} AS MATERIALIZED (SELECT query_id, key FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * rel - 0.3 * near, 12) DESC, o DESC) AS r FROM n{i}) WHERE r = 1),
+n{i + 1} AS MATERIALIZED (SELECT n.query_id, n.key, n.rel, n.o, greatest(near, {_COS}) AS near FROM n{i} n JOIN p{i} p ON n.query_id = p.query_id AND n.key <> p.key JOIN embeddings a ON a.vec_id = n.key JOIN embeddings b ON b.vec_id = p.key)"""
+    return sql + " " + " UNION ALL ".join(f"SELECT query_id, key, CAST({i} AS BIGINT) AS step FROM p{i}" for i in range(steps))
+
+
+@query(_mmr_sql(5))
 def mmr_selection(spark, sf_dir):
     """Five diverse neighbours of thirty candidates a query."""
     own = base(spark, sf_dir)
