@@ -77,8 +77,9 @@ def rotate(
     keep their label in every rendering, and a conversation of fixed roles alone has no
     rendering.  Turns are in order of turn, speaker, text hash.  A null speaker is
     "unknown", a null text empty, turns without number come first, and rows without
-    conversation are one conversation.  Exact repeats of a row are one turn.  Marks of the
-    template inside texts are broken up ("<|" becomes "< |").
+    conversation are one conversation.  Repeats of a row with a conversation and a turn
+    number are one turn; without either number they may be different turns and all stay.
+    Other columns are not read; an empty table gives an empty result.  Marks of the template inside texts are broken up ("<|" becomes "< |").
     """
     speaker = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
     text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
@@ -88,8 +89,10 @@ def rotate(
         speaker.alias("speaker"),
         text.alias("text"),
     ).withColumn("th", F.xxhash64("text"))
-    keys = ["conv", "at", "speaker", "th"]
-    own = own.dropDuplicates(keys)
+    keys = ["conv", "at", "speaker", "th", "again"]
+    own = own.groupBy("conv", "at", "speaker", "th", "text").agg(F.count("*").alias("n"))
+    placeless = (F.col("conv") == _NONE) | (F.col("at") == _NONE)
+    own = own.select("*", F.explode(F.sequence(F.lit(1), F.when(placeless, F.col("n").cast("int")).otherwise(1))).alias("again")).drop("n")
     views = own.where(~F.col("speaker").isin(*fixed)).select("conv", F.col("speaker").alias("view")).distinct()
     label = _label(F.col("speaker"), F.col("view"), fixed)
     name = F.when(label == "user", F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
@@ -98,9 +101,9 @@ def rotate(
     sized = (
         own.select(*keys, F.char_length("text").alias("chars"))
         .join(views, "conv")
-        .select("conv", "view", "at", "speaker", "th", size.cast("long").alias("size"))
+        .select("conv", "view", "at", "speaker", "th", "again", size.cast("long").alias("size"))
     )
-    placed = _running(sized, ["conv", "view"], ["at", "speaker", "th"], "size")
+    placed = _running(sized, ["conv", "view"], ["at", "speaker", "th", "again"], "size")
     found = own.join(placed, keys)
     train = label == "assistant"
     first = F.col("before") + F.char_length(head)
