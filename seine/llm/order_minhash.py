@@ -7,9 +7,9 @@ texts agree in a value if they share the k-mers and their order, so agreement fa
 edit distance, not only with lost content.
 
 Scale.  Hashing is local to a row and vectorised.  The query also needs each document's
-successor by doc_id: documents are dealt once by ranges of doc_id (bounds from quantiles,
-one number a range), sorted, and streamed with one row held back; the first row of each
-range also goes to the range before it.
+successor by doc_id: documents are dealt once by ranges of (doc_id, hash of the text), with
+bounds from quantiles, one range a task, sorted, and streamed with one row held back; the
+first row of each range also goes to the range before it.
 """
 
 from __future__ import annotations
@@ -119,48 +119,61 @@ def fingerprints(docs: DataFrame, k: int = 8, m: int = 64, keep: int = 2, id_col
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _task_keys(spark, parts: int) -> str:
+    """For each of `parts` ranges an integer that Spark deals to a task of its own, comma-joined."""
+    dealt = spark.range(30 * parts).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p"))
+    key = {r["p"]: r["k"] for r in dealt.groupBy("p").agg(F.min("k").alias("k")).collect()}  # a row a range
+    return ",".join(str(key.get(i, i)) for i in range(parts))
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, doc_id, text, ghost), dealt and sorted so that each row's successor follows it.
 
-    The order is by doc_id (rows without come last), then text.  A ghost is the first row
-    of the next range that has rows; for the last range, the first row of all.
+    The order is by doc_id (rows without come last), then hash of the text, then text.  A
+    doc_id that fills several ranges (or rows without one) is split by the hash.  A ghost is
+    the first row of the next range that has rows; for the last range, the first row of all.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = F.lit((1 << 63) - 1)
-    own = docs.select(F.coalesce("doc_id", most).alias("at"), "doc_id", "text")
+    last = (1 << 63) - 1
+    own = docs.select(F.coalesce("doc_id", F.lit(last)).alias("at"), F.xxhash64("text").alias("th"), "doc_id", "text")
     steps = [i / parts for i in range(1, parts)]
-    found = own.approxQuantile("at", steps, 0.2 / parts) if steps else []
-    bounds = sorted({min(int(b), (1 << 63) - 1) for b in found})
-    edges = np.array(bounds, np.int64)
+    found = sorted(min(int(b), last) for b in own.approxQuantile("at", steps, 0.2 / parts)) if steps else []
+    edges, split = [], {}  # range r begins at edges[r - 1]; split: into how many it is dealt, if one value fills it
+    for value in sorted(set(found)):
+        often = found.count(value)
+        if often > 1:
+            if not edges or edges[-1] < value:
+                edges.append(value)
+            split[len(edges)] = often
+            if value < last:
+                edges.append(value + 1)
+        elif not edges or edges[-1] < value:
+            edges.append(value)
+    width = np.array([split.get(r, 1) for r in range(len(edges) + 1)], np.int64)
+    offset, edges = np.r_[0, np.cumsum(width)[:-1]], np.array(edges, np.int64)
+    number = int(width.sum())
 
     @F.pandas_udf("int")
-    def part_of(at):
+    def part_of(at, th):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(edges, at.to_numpy(), side="right"))
+        r = np.searchsorted(edges, at.to_numpy(), side="right")
+        place = (th.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of signed hashes
+        return pd.Series(offset[r] + (place.astype(np.int64) * width[r] >> 32))
 
-    dealt = own.withColumn("part", part_of("at"))
-    held = {r["part"]: r["at"] for r in dealt.groupBy("part").agg(F.min("at").alias("at")).collect()}  # a row a range
+    dealt = own.withColumn("part", part_of("at", "th"))
+    held = {r["part"]: tuple(r["x"]) for r in dealt.groupBy("part").agg(F.min(F.struct("at", "th")).alias("x")).collect()}  # a row a range
     used = sorted(held)
-    before = dict(zip(used, [used[-1], *used[:-1]])) if used else {}
-
-    @F.pandas_udf("int")
-    def part_before(part):
-        return part.map(before)
-
-    first = dealt.where(F.col("at").isin(sorted(held.values()))).groupBy("part", "at").agg(F.min("text").alias("text"))
-    ghosts = first.select(
-        part_before("part").alias("part"),
-        "at",
-        F.lit(None).cast("long").alias("doc_id"),
-        "text",
-        F.lit(1).alias("ghost"),
-    )
-    every = dealt.select("part", "at", "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts)
+    to = [used[-1], *used[:-1]] if used else []
+    firsts = spark.createDataFrame([(b, p, *held[p]) for b, p in zip(to, used)], "before int, part int, at long, th long")
+    first = dealt.join(F.broadcast(firsts), ["part", "at", "th"]).groupBy("before", "part", "at", "th").agg(F.min("text").alias("text"))  # a row a range
+    ghosts = first.select(F.col("before").alias("part"), "at", "th", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("ghost"))
+    every = dealt.select("part", "at", "th", "doc_id", "text", F.lit(0).alias("ghost")).unionByName(ghosts)
+    task = F.get(F.split(F.lit(_task_keys(spark, number)), ","), F.col("part")).cast("int")
     return (
-        every.repartition(parts, "part")
-        .sortWithinPartitions("part", "ghost", "at", "text")
+        every.repartition(number, task)
+        .sortWithinPartitions("part", "ghost", "at", "th", "text")
         .select("part", "doc_id", "text", "ghost")
     )
 
@@ -177,7 +190,9 @@ def report(docs: DataFrame, k: int = 8, m: int = 64, keep: int = 2, parts: int |
     """Each document against itself edited and against the next one by doc_id.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
-    many (or all) of the next document; after the last document comes the first.
+    many (or all) of the next document; after the last document comes the first.  A null
+    text counts as empty.  Repeated rows follow each other, texts of one doc_id in the order
+    of their hashes, rows without doc_id come last.  An empty table gives an empty result.
     """
 
     def run(batches):
