@@ -100,16 +100,14 @@ def judge(
     host_col: str | None = "source",
     least_chars: int = 20,
     most_docs: int = 5,
-    most_share: float = 0.01,
     least_words: int = 5,
     least_left: float = 0.3,
 ) -> DataFrame:
     """Measures and verdict for every row of `docs` (doc_id, text, `host_col`).
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word
-    windows.  A line of at least `least_chars` code points is above its host's limit in
-    more than both `most_docs` documents and `most_share` of the host's documents.  A
-    document is depleted when fewer than `least_words` words or less than `least_left` of
+    windows.  A line of at least `least_chars` code points is above the limit in more than
+    `most_docs` documents of one host, however large the host is.  A document is depleted when fewer than `least_words` words or less than `least_left` of
     them are left.  kept is false if base_failed or depleted.  A null text has no words;
     null hosts (or no host column) are one host; rows without doc_id keep their verdict
     but count for no line; repeated rows count once and each comes back.
@@ -127,8 +125,7 @@ def judge(
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > most_docs)
     )
-    hosts = base.where("doc_id is not null").select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("all"))
-    over = durable(counts.join(hosts, "host").where(F.col("n") > most_share * F.col("all")).select("host", "h1", "h2"), "over")
+    over = durable(counts.select("host", "h1", "h2"), "over")
     gone = lines.join(over, ["host", "h1", "h2"]).groupBy("rid").agg(F.sum("words").alias("gone"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))

@@ -89,9 +89,7 @@ lk AS (SELECT doc_id, host, line, trim(line, ' ' || chr(9) || chr(10) || chr(11)
 kk AS (SELECT doc_id, host, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
        len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM lk WHERE bare <> ''),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM kk GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
-o AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT doc_id) AS n FROM kk WHERE length(key) >= 20 GROUP BY host, key) x
-      JOIN hosts USING (host) WHERE x.n > 5 AND x.n > 0.01 * hosts.n),
+o AS (SELECT host, key FROM kk WHERE length(key) >= 20 GROUP BY host, key HAVING count(DISTINCT doc_id) > 5),
 b AS (SELECT doc_id, sum(words) AS n FROM kk JOIN o USING (host, key) GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
       CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
