@@ -267,4 +267,5 @@ def pack(
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """`pack` with its defaults and lengths as long: null and empty texts, repeated rows, rows without doc_id and empty tables as there."""
     return pack(docs).withColumn("length", F.col("length").cast("long"))

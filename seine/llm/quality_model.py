@@ -225,7 +225,11 @@ def classify(
 
 
 def keep_good(docs: DataFrame, least: float = 0.5, sample: int = 6000, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that the scorer keeps, unchanged."""
+    """The rows of `docs` that the scorer keeps, unchanged.
+
+    Null texts are scored as empty ones.  Repeated rows count as often as they come and
+    share one verdict.  Columns of any names come back; an empty table gives an empty one.
+    """
     model = train(texts(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), sample)
     weights = model["weights"]
 
