@@ -182,12 +182,22 @@ def propagate(results: DataFrame, chunks: DataFrame, edges: DataFrame, seeds: in
 
 
 def truncate_at_cliff(results: DataFrame, least: int = 3, drop: float = 0.35) -> DataFrame:
-    """Cuts at the first place from `least` on where the score falls by more than `drop` of the best; for one result list."""
-    w = Window.partitionBy().orderBy(*by_score())
-    found = results.select("*", F.lag("score").over(w).alias("_was"), (F.row_number().over(w) - 1).alias("_i"), F.first("score").over(w).alias("_best"))
-    cliff = F.when((F.col("_i") >= least) & ((F.col("_was") - F.col("score")) / F.col("_best") > drop), F.col("_i"))
-    cut = F.min(cliff).over(Window.partitionBy())
-    return found.withColumn("_cut", cut).where("_cut is null or _i < _cut").drop("_was", "_i", "_best", "_cut")
+    """Cuts at the first place from `least` on where the score falls by more than `drop` of the best; for one result list.
+
+    Scores are not negative.  A fall of that size leaves a bucket of half of it empty, or
+    spans two, so at most 2 / drop + 1 counts of buckets decide, however many results there are.
+    """
+    best = results.agg(F.max("score")).first()[0]
+    if best is None or best <= 0:
+        return results
+    bucket = F.floor(F.col("score") / F.lit(best * drop / 2))
+    counts = results.groupBy(bucket.alias("b")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
+    above, before = 0, None
+    for r in sorted(counts.collect(), key=lambda r: -r["b"]):  # at most 2 / drop + 1 rows
+        if before is not None and above >= least and (before - r["high"]) / best > drop:
+            return results.where(F.col("score") >= before)
+        above, before = above + r["n"], r["low"]
+    return results
 
 
 def _fold(results: DataFrame, keep: Callable) -> DataFrame:
@@ -230,7 +240,8 @@ def band_merge(results: DataFrame, gap: int = 3) -> DataFrame:
 def within_budget(results: DataFrame, cost: str, budget: int) -> DataFrame:
     """Results in score order while their costs stay within the budget; skips none: the first too large one ends the list."""
     w = Window.partitionBy().orderBy(*by_score()).rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+    best = results.orderBy(*by_score()).limit(budget + 1)  # a result costs one at least, so no more can fit
+    return best.withColumn("used", F.sum(F.greatest(F.col(cost), F.lit(1))).over(w)).where(F.col("used") <= budget)
 
 
 def render(results: DataFrame) -> DataFrame:
