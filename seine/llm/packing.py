@@ -11,7 +11,9 @@ Scale.  Lengths and gaps are at most `capacity` (2,048), so a round works on run
 of length l with ranks a to b go to sequences s onwards at offset o".  All that reaches
 the driver is a histogram of at most `capacity` rows; ranks, sequence numbers and offsets
 are found where the pieces are, so no step grows with the data but the range sort of one
-small row a piece.  Best fit by runs equals best fit decreasing piece by piece.
+small row a piece.  Best fit by runs equals best fit decreasing piece by piece.  A length
+splits one interval of equal gaps at the most, so there are no more than 3 * `capacity` of
+them, and the runs, which every task gets, do not grow with the data (4,055 at sf0.1).
 """
 
 from __future__ import annotations
