@@ -168,6 +168,13 @@ def test_rules(docs):
     assert not any(r["kept"] and r["base_failed"] for r in found)
 
 
+def test_rules_limit_does_not_grow_with_the_host(spark):
+    nav = "the same navigation line of this one host"
+    rows = [(i, "\n".join([nav] * 3) + f"\nown {i}", "hot") for i in range(6)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(12)), "hot") for i in range(3000)]
+    found = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(found[i] for i in range(6)) and all(found[100 + i] for i in range(3000))
+
+
 def test_rules_reject_what_boilerplate_fills(spark):
     nav = "the same navigation line of this one host"
     rows = [(i, nav + "\n" + nav.upper() + "\nfew words", "a") for i in range(8)]
@@ -177,9 +184,10 @@ def test_rules_reject_what_boilerplate_fills(spark):
     assert found[0]["n_boilerplate_words"] == 16 and found[200]["n_boilerplate_words"] == 0
 
 
-@pytest.mark.parametrize("window, block, gathered", [(35, 8, 4_000_000), (6, 3, 50), (6, 6, 4_000_000)])
-def test_substrings(docs, window, block, gathered, monkeypatch):
+@pytest.mark.parametrize("window, block, gathered, often", [(35, 8, 4_000_000, 1000), (6, 3, 50, 3), (6, 6, 4_000_000, 2)])
+def test_substrings(docs, window, block, gathered, often, monkeypatch):
     monkeypatch.setattr(substrings, "GATHERED", gathered)
+    monkeypatch.setattr(substrings, "OFTEN", often)
     rows = given(docs)
     split = [t.encode().split() for _, t in rows]
     count = collections.Counter(tuple(w[j : j + window]) for w in split for j in range(len(w) - window + 1))
@@ -189,8 +197,49 @@ def test_substrings(docs, window, block, gathered, monkeypatch):
         kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
         wanted.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     same([tuple(r) for r in substrings.report(docs, window, block).collect()], wanted)
-    texts = collections.Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in substrings.remove_repeats(docs, window, block).collect())
+    removed = substrings.remove_repeats(docs, window, block).collect()
+    texts = collections.Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in removed)
     assert texts == collections.Counter(w[3] for w in wanted)
+    assert sorted(sum(x["n"] for x in r["removed"]) for r in removed) == sorted(w[2] for w in wanted)
+
+
+@pytest.mark.parametrize("window, block, often", [(35, 8, 1000), (6, 3, 2)])
+def test_factors_follow_their_references(docs, window, block, often, monkeypatch):
+    monkeypatch.setattr(substrings, "OFTEN", often)
+    rows = given(docs)
+    split = [(i, t.encode().split()) for i, t in rows]
+    places = collections.defaultdict(set)  # of each window: where it starts
+    for k, (_, w) in enumerate(split):
+        for j in range(len(w) - window + 1):
+            places[tuple(w[j : j + window])].add((k, j))
+    by_id = collections.defaultdict(list)
+    for i, w in split:
+        by_id[i].append(w)
+    parsed = collections.defaultdict(list)
+    for r in substrings.factors(docs, window, block).collect():
+        parsed[r["doc_id"]].append((r["start"], r["length"], r["ref_doc_id"], r["ref_start"]))
+    for i, texts in by_id.items():
+        if len(texts) > 1:
+            continue  # the factors of several texts of one id stand together
+        w, own = texts[0], sorted(parsed.get(i, []))
+        covered = {p for j in range(len(w) - window + 1) if len(places[tuple(w[j : j + window])]) > 1 for p in range(j, j + window)}
+        assert [p for a, n, *_ in own for p in range(a, a + n)] == sorted(covered)  # disjoint, in order, nothing else
+        for a, n, ref, b in own:
+            assert any(x[b : b + n] == w[a : a + n] and (ref != i or a != b) for x in by_id[ref])
+
+
+def test_parse_is_greedy():
+    run = lambda first, n, ref, to: {"first": first, "n": n, "ref_id": ref, "ref_th": 0, "ref_first": to}
+    runs = [run(0, 3, 1, 100), run(3, 2, 1, 103), run(2, 9, 2, 7), run(4, 1, 3, 0), run(40, 1, 4, 9)]
+    assert substrings.parse(runs, 5) == [(0, 9, 1, 0, 100), (9, 6, 2, 0, 14), (40, 5, 4, 0, 9)]
+    assert substrings.parse(None, 5) == []
+
+
+def test_copies_without_id_share_their_runs(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text)] * 300, "doc_id long, text string").repartition(4)
+    found = substrings.repeated_windows(substrings._hashed_texts(docs)).select("runs").collect()
+    assert len(found) == 300 and all([tuple(x)[:2] for x in r["runs"]] == [(0, 26)] for r in found)
 
 
 def test_packing(docs):
@@ -244,16 +293,24 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(ids([x])[0], "<u4").tolist() == ids.encoder.encode(x, add_special_tokens=False).ids, x
 
 
-def test_order_minhash(docs):
-    rows = given(docs)
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    wanted = []
-    for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1]
-        cut = len(t) // 4
-        wanted.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest(), order_minhash.text_of(order_minhash.signature(t))))
-    for parts in (1, 5):
-        same([tuple(r)[:4] for r in order_minhash.report(docs, parts=parts).collect()], wanted)
+def test_order_minhash(spark, docs):
+    from xxhash import xxh64_intdigest
+
+    sign = lambda t: order_minhash.text_of(order_minhash.signature(t))
+    like = lambda a, b: round(float(np.mean([a[k : k + 4] == b[k : k + 4] for k in range(0, 256, 4)])) ** 0.5, 9)
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxh64_intdigest(t.encode(), 42))
+    hot = spark.createDataFrame([(9, f"text number {i} of one document") for i in range(40)] + [(None, f"and {i} of none") for i in range(40)], "doc_id long, text string")
+    for table in (docs, docs.select("doc_id", "text").unionByName(hot)):
+        order = sorted(given(table), key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]), r[1]))
+        wanted = []
+        for k, (i, t) in enumerate(order):
+            after = order[(k + 1) % len(order)][1]
+            cut = len(t) // 4
+            edited = t[: len(t) - cut] + after[:cut]
+            near = like(sign(t), sign(edited)), like(sign(t), sign(after))
+            wanted.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), sign(t), sign(edited), *near))
+        for parts in (1, 5, 12):
+            same([(*tuple(r)[:5], *(round(x, 9) for x in tuple(r)[5:])) for r in order_minhash.report(table, parts=parts).collect()], wanted)
 
 
 def test_order_minhash_sees_order_and_edits():
@@ -424,6 +481,28 @@ def test_pieces_equal_the_library(docs):
     same([tuple(r) for r in back.collect()], given(docs))
 
 
+def test_merges_equal_their_definition_and_long_words_are_cheap():
+    import time
+
+    own, rng = pieces.Encoder().vocabulary, random.Random(10)
+
+    def by_scanning(text):
+        parts = list(text)
+        while True:
+            score = [own.score_of.get(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+            if not score or max(score) == -np.inf:
+                return parts
+            at = score.index(max(score))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    for _ in range(600):
+        text = "▁" + "".join(rng.choice("abcdeiou tehnrs"[: rng.randint(2, 15)]).replace(" ", "") for _ in range(rng.randint(0, 30)))
+        assert own.merged(text) == by_scanning(text)
+    start = time.time()
+    own.merged("".join(rng.choice("etaoinshr") for _ in range(20_000)))
+    assert time.time() - start < 5
+
+
 def test_unigram_viterbi_is_the_best_path():
     rng = random.Random(9)
     vocabulary = {c: rng.uniform(-6, -2) for c in "abc"} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): rng.uniform(-8, -2) for _ in range(30)}
@@ -446,6 +525,44 @@ def test_classifier(spark, data):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_classifier_equals_plain_em_and_scoring(docs):
+    """EM, posteriors and scores of hostile rows, each by loops from the definitions."""
+    rows = given(docs)
+    patterns = collections.Counter(tuple(quality_model.votes(t)) for _, t in rows)
+    good = {v: 0.9 ** (1 + 20 * v.count(0)) for v in patterns}
+    for _ in range(200):
+        table = [[[1.0, 1.0] for _ in quality_model.LABELLERS] for _ in range(2)]
+        for v, n in patterns.items():
+            for c in range(2):
+                for k, said in enumerate(v):
+                    if said < 2:
+                        table[c][k][said] += n * (good[v] if c else 1 - good[v])
+        table = [[[x / sum(row) for x in row] for row in one] for one in table]
+        share = min(1 - 1e-6, max(1e-6, sum(n * good[v] for v, n in patterns.items()) / len(rows)))
+        before = good
+        good = {}
+        for v in patterns:
+            lean = np.log(share / (1 - share)) + sum(np.log(table[1][k][x]) - np.log(table[0][k][x]) for k, x in enumerate(v) if x < 2)
+            good[v] = float(1 / (1 + np.exp(-np.clip(lean, -40, 40))))
+        if max(abs(good[v] - before[v]) for v in good) < 1e-9:
+            break
+    model = quality_model.train(quality_model.texts(docs))
+    assert np.allclose(model["table"], table, atol=1e-6) and abs(model["good"] - share) < 1e-6
+    weights, found = model["weights"], collections.defaultdict(set)
+    for r in quality_model.classify(docs, model=model).collect():
+        found[r["doc_id"]].add((round(r["posterior"], 6), round(r["score"], 9), r["keep"]))
+    wanted = collections.defaultdict(set)
+    for i, t in rows:
+        at, value = quality_model.features(t)
+        lean = sum(float(weights[a]) * float(v) for a, v in zip(at, value)) + float(weights[-1])
+        score = 1 / (1 + np.exp(-lean))
+        wanted[i].add((round(good[tuple(quality_model.votes(t))], 6), round(float(score), 9), bool(score >= 0.5)))
+    near = lambda x, y: len(x) == len(y) and all(abs(a[0] - b[0]) < 1e-4 and abs(a[1] - b[1]) < 1e-5 and (a[2] == b[2] or abs(a[1] - 0.5) < 1e-5) for a, b in zip(sorted(x), sorted(y)))
+    assert found.keys() == wanted.keys() and all(near(found[i], wanted[i]) for i in found)
+    kept = quality_model.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["keep"] for r in quality_model.classify(docs).collect())
+
+
 def test_em_recovers_labellers():
     rng = np.random.default_rng(3)
     truth = rng.random(20000) < 0.8
@@ -462,11 +579,12 @@ def test_em_recovers_labellers():
 def test_chat(spark):
     rows = [
         (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "hello\nann"), (1, 2, "bob", "hello\nann"), (1, 3, "cy d", None),
-        (2, 0, "system", "alone"), (3, None, None, "who"), (None, 5, "ann", "lost"),
+        (2, 0, "system", "alone"), (3, None, None, "who"), (3, None, None, "who"), (None, 5, "ann", "lost"),
     ]
     found = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     whole = {(r["conv_id"], r["view"]): (r["dialogue"], [tuple(m) for m in r["masks"]]) for r in chat.assemble(found).collect()}
     assert set(whole) == {(1, "ann"), (1, "bob"), (1, "cy d"), (3, "unknown"), (None, "ann")}
+    assert whole[3, "unknown"][0].count("who") == 2  # turns without a number are no repeats
     text, masks = whole[1, "bob"]
     assert text == (
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|><|im_end|>\n"
