@@ -10,7 +10,7 @@ short texts are spread like long ones.  Of sets of at most 9 shingles, near ones
 one shingle at the most: these are found by their sets less one, exactly.
 
 Colliding pairs are verified by their shingles.  Not all of them: a first pass verifies up
-to four partners of each text; a second one returns every colliding pair that the verified
+to twelve partners of each text; a second one returns every colliding pair that the verified
 links have not brought together yet.  No link is lost, and a large group of near copies
 costs a few links a text and no pairs.
 
@@ -291,9 +291,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _partners(pairs: DataFrame) -> DataFrame:
-    """Up to four partners of each second node, drawn by two orders."""
-    mixed = F.xxhash64("a")
-    picks = [F.min("a"), F.max("a"), F.min_by("a", mixed), F.max_by("a", mixed)]
+    """Up to twelve partners of each second node: the ends of six orders."""
+    orders = [F.col("a"), *[F.xxhash64("a", F.lit(i)) for i in range(5)]]
+    picks = [end("a", o) for o in orders for end in (F.min_by, F.max_by)]
     return pairs.groupBy("b").agg(F.array_distinct(F.array(*picks)).alias("a")).select(F.explode("a").alias("a"), "b")
 
 
@@ -319,7 +319,10 @@ def groups(found: DataFrame, least: float, blocks: int, bits: int, radius: int)
     label = durable(connected_components(one, "a", "b"), "near-labels")
     labelled = nodes.join(label, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("label"))
     two = links(labelled, True)
-    return connected_components(one.unionByName(two), "a", "b")
+    whole = durable(connected_components(one.unionByName(two), "a", "b"), "near-components")
+    for df in (one, two, label, nodes):
+        release(df)
+    return whole
 
 
 def near_copies(
@@ -335,7 +338,10 @@ def near_copies(
     lanes = -(-blocks * bits // 64) + 1
     found = durable(sketches(docs.select("doc_id", "th", "text"), width, lanes), "near")
     named = durable(groups(found, least, blocks, bits, radius), "near-groups")
-    return found.join(named, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component"))
+    out = durable(found.join(named, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("component")), "near-found")
+    for df in (found, named):
+        release(df)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -347,10 +353,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     table gives an empty one.
     """
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    found = durable(near_copies(texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text"), **options), "near-found")
+    found = near_copies(texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text"), **options)
     named = found.where("doc_id is not null")
     best = durable(named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best")), "near-best")
     lose = named.join(best, "component").where("struct(doc_id, th) <> best").select(F.col("doc_id").alias("_seine_lost"), F.col("th").alias("_seine_th")).distinct()
     lose = durable(lose, "near-lost")
+    for df in (found, best):
+        release(df)
     on = (F.col(id_col).cast("long") == F.col("_seine_lost")) & (th == F.col("_seine_th"))
     return docs.join(lose, on, "left_anti")
