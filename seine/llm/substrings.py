@@ -108,10 +108,13 @@ def _runs(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray
 
 
 def _references(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For entries in groups (first position, size): the group's first entry, and for that one the second."""
+    """For entries in groups (first position, size): the entry before in the group, and for the first one the second.
+
+    Copies then follow the copy before them, and a text that repeats itself follows itself.
+    """
     first = np.repeat(begin, size)
     at = np.arange(len(first))
-    return np.where(at == first, np.minimum(first + 1, first + np.repeat(size, size) - 1), first)
+    return np.where(at > first, at - 1, np.minimum(at + 1, first + np.repeat(size, size) - 1))
 
 
 def _groups(value: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +124,7 @@ def _groups(value: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, np.diff(np.r_[begin, len(value)])
 
 
-def _sent(route, value, more, doc, pos, ids, ths, parts):
+def _sent(route, value, more, doc, pos, ids, ths, parts, follow):
     """Rows for the reducers.  Kind 1: packed entries; kind 0: runs that are settled here.
 
     An entry is (value, more), dealt by `route`; doc is an index into ids and ths.  Values
@@ -131,8 +134,9 @@ def _sent(route, value, more, doc, pos, ids, ths, parts):
     order = np.lexsort((more, value))
     route, value, more, doc, pos = (x[order] for x in (route, value, more, doc, pos))
     begin, size = _groups(value, more)
-    ref, many = _references(begin, size), np.repeat(size, size) > 1
-    for d, a, n, r, b in zip(*_runs(doc[many], pos[many], doc[ref[many]], pos[ref[many]])):
+    many = np.repeat(size, size) > 1
+    ref = _references(begin, size)[many] if follow else np.flatnonzero(many)
+    for d, a, n, r, b in zip(*_runs(doc[many], pos[many], doc[ref], pos[ref])):
         part = (((ids[d] or 0) * _BASE + ths[d]) >> 32 & 0xFFFFFFFF) * parts >> 32  # copies share th, not doc_id
         yield part, 0, None, None, None, None, np.array([a, n, b], np.int32).tobytes(), ids[d], ths[d], ids[r], ths[r]
     copies = np.where(size > 1, size, 0).astype(np.uint32)
@@ -153,9 +157,10 @@ def _sent(route, value, more, doc, pos, ids, ths, parts):
 _NO_ID = -(1 << 63)
 
 
-def _settle(batches):
+def _settle(batches, follow: bool):
     """Reducer: the runs of places whose (value, more) occurs twice or more among a part's entries.
 
+    Runs `follow` one reference each, or are runs of places alone (each its own reference).
     Values of OFTEN places or more are told too, as rows of (null, value, -1, places).
     """
     part, held = None, []
@@ -168,12 +173,12 @@ def _settle(batches):
             names.append(np.frombuffer(doc[: len(doc) - 4 * len(p)], np.int64).reshape(2, -1))
             base += names[-1].shape[1]
         local, names = np.concatenate(local), np.concatenate(names, axis=1)
-        order = np.lexsort((pos, names[1, local], names[0, local], more, value))  # a reference is the least place
+        order = np.lexsort((pos, names[1, local], names[0, local], more, value))  # a reference is the place before
         value, more, copies, pos, local = (x[order] for x in (value, more, copies, pos, local))
         begin, size = _groups(value, more)
-        ref = _references(begin, size)
         asks = (np.repeat(size, size) > 1) & (copies == 0)
-        doc, first, number, to, to_first = _runs(local[asks], pos[asks], local[ref[asks]], pos[ref[asks]])
+        ref = _references(begin, size)[asks] if follow else np.flatnonzero(asks)
+        doc, first, number, to, to_first = _runs(local[asks], pos[asks], local[ref], pos[ref])
         places = np.add.reduceat(np.maximum(copies, 1).astype(np.int64), begin) if len(begin) else begin
         often = np.flatnonzero(places >= OFTEN)
         none = np.full(len(often), _NO_ID)
@@ -204,7 +209,7 @@ def _settle(batches):
         yield done()
 
 
-def _sender(entries_of, parts: int):
+def _sender(entries_of, parts: int, follow: bool):
     """A map function over (doc_id, th, text, ...) batches; entries_of(row) gives route, value, more, pos."""
 
     def run(batches):
@@ -214,7 +219,7 @@ def _sender(entries_of, parts: int):
             doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             joined = [np.concatenate(x) for x in zip(*held)]
             out: list = []
-            for row in _sent(joined[0], joined[1], joined[2], doc, joined[3], ids, ths, parts):
+            for row in _sent(joined[0], joined[1], joined[2], doc, joined[3], ids, ths, parts, follow):
                 out.append(row)
                 if len(out) == 2000:
                     yield rows(_SENT_ARROW, dict(zip(_SENT_ARROW.names, zip(*out))))
@@ -240,10 +245,10 @@ def _sender(entries_of, parts: int):
     return run
 
 
-def _twice(docs: DataFrame, entries_of, parts: int) -> DataFrame:
-    """(doc_id, th, first, n): runs of places whose entries occur twice or more over all of `docs`."""
-    sent = docs.mapInArrow(_sender(entries_of, parts), _SENT)
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(_settle, _RUN)
+def _twice(docs: DataFrame, entries_of, parts: int, follow: bool) -> DataFrame:
+    """(doc_id, th, first, n, reference): runs of places whose entries occur twice or more over all of `docs`."""
+    sent = docs.mapInArrow(_sender(entries_of, parts, follow), _SENT)
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _settle(batches, follow), _RUN)
 
 
 def _by_text(runs: DataFrame, name: str, *more: str) -> DataFrame:
@@ -292,13 +297,13 @@ def repeated_windows(docs: DataFrame, window: int = 35, block: int = 8, parts: i
         known = often[np.minimum(np.searchsorted(often, anchor), len(often) - 1)] == anchor if len(often) else np.zeros(len(own), bool)
         return np.where(known, whole, anchor), whole, (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32), own
 
-    recurring = durable(_twice(docs, blocks, parts), "blocks")
+    recurring = durable(_twice(docs, blocks, parts, False), "blocks")
     # frequent blocks stand in many surroundings, so their windows are dealt one by one and not with their block
     most = recurring.where("first < 0").orderBy(F.desc("n"), "th").limit(MOST_OFTEN).select("th").toArrow()
     shared = spark.sparkContext.broadcast(np.sort(most["th"].to_numpy().view(np.uint64)))
     candidates = _by_text(recurring.where("first >= 0"), "hot")
     checked = _joined(docs, candidates, "inner").select("doc_id", "th", "text", "hot")
-    return _joined(docs, _by_text(_twice(checked, windows, parts).where("first >= 0"), "runs", "ref_id", "ref_th", "ref_first"), "left")
+    return _joined(docs, _by_text(_twice(checked, windows, parts, True).where("first >= 0"), "runs", "ref_id", "ref_th", "ref_first"), "left")
 
 
 def parse(runs: list | None, window: int) -> list[tuple[int, int, int | None, int, int]]:
