@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from seine.queries import code, graphs, history, ranking, retrieval, text, vectors  # noqa: F401
+    from seine.queries import code, graphs, history, ranking, retrieval, small, text, vectors  # noqa: F401

@@ -50,10 +50,33 @@ def _app_folder(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """How many tables `durable` has begun so far, for `release_since`."""
+    return len(_WRITTEN)
+
+
+def release_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the tables written since `written()` gave `mark`, but for `keep` and those that are `stored`."""
+    kept = {getattr(df, "_seine_path", None) for df in (keep, *_STORED.values())}
+    for path in _WRITTEN[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    _WRITTEN[mark:] = [p for p in _WRITTEN[mark:] if p in kept]
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared folder; removed when the driver ends."""
+    return f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared folder and return it reread; removed when the driver ends."""
     spark = df.sparkSession
     path = f"{_app_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._seine_path = path
