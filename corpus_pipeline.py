@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seine.llm import lines, near_texts, packing, pii, quality_model
-from seine.store import durable, read_table, release
+from seine.store import durable, read_table, release, release_since, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = written()
         done = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release_since(spark, mark, done)  # the stage's own tables
         release(docs)  # what the stage before wrote; the source table is not ours and stays
         docs = done
     return docs
