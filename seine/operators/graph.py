@@ -102,7 +102,7 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     is the global one.  A round is one join and one sum by node, combined before the shuffle.
     """
     edges = durable(edges.select("src", "dst").distinct(), "edges")
-    own = real(edges)
+    own = edges.where(~is_external(F.col("src")) & ~is_external(F.col("dst")))  # distinct already
     names = durable(nodes_of(edges).where(~is_external(F.col("node"))), "names")
     out = own.groupBy("src").agg(F.count("*").alias("out"))
     links = durable(own.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
