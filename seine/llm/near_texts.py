@@ -333,8 +333,8 @@ def near_copies(
     Words are those of `simhash`, lower-cased; a text of fewer words than `width` is one
     shingle, and texts without words are copies of each other.
     """
-    if radius % 2 or bits % 8 or not 0.5 < least <= 1:
-        raise ValueError("an even radius, whole bytes a block and a similarity above 0.5")
+    if radius % 2 or bits % 8 or not 0.5 < least < 1:
+        raise ValueError("an even radius, whole bytes a block and a similarity between 0.5 and 1")
     lanes = -(-blocks * bits // 64) + 1
     found = durable(sketches(docs.select("doc_id", "th", "text"), width, lanes), "near")
     named = durable(groups(found, least, blocks, bits, radius), "near-groups")
