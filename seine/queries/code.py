@@ -294,8 +294,6 @@ def code_blocks(spark, sf_dir):
 
 def _search(spark, sf_dir):
     """search(text, n) over line chunks: occurrences of the text's words."""
-    from seine.queries.text import chunks
-
     own = chunks(spark, sf_dir)
 
     def search(text, n):
@@ -306,20 +304,50 @@ def _search(spark, sf_dir):
     return search
 
 
-@query()
+def _occurrences(words: str) -> str:
+    """SQL of `_search`'s score."""
+    return "CAST(" + " + ".join(f"(length(content) - length(replace(content, '{w}', ''))) / {len(w)}" for w in words.split()) + " AS DOUBLE)"
+
+
+def _list_sql(words: str) -> str:
+    """SQL of one list of `deep`: the 30 best chunks for the words, ranked by score and chunk."""
+    found = f"SELECT chunk_id, file_path, line_start, content, {_occurrences(words)} AS score FROM chunks"
+    return f"(SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank FROM (SELECT * FROM ({found}) WHERE score > 0 ORDER BY score DESC, file_path, line_start LIMIT 30))"
+
+
+@query(
+    f"""WITH {CHUNKS}, l AS MATERIALIZED (FROM {_list_sql('theand of tion')} UNION ALL FROM {_list_sql('theand tion')} UNION ALL FROM {_list_sql('TheandTion')} UNION ALL FROM {_list_sql('theand_tion')}),
+f AS (SELECT chunk_id FROM l GROUP BY chunk_id ORDER BY sum(1.0::DOUBLE / (60 + rank + 1)) DESC, chunk_id LIMIT 30),
+b AS (SELECT DISTINCT chunk_id, file_path, line_start, content FROM l WHERE chunk_id IN (FROM f)),
+s AS (SELECT *, len(list_filter(['theand', 'of', 'tion'], lambda w: list_contains(regexp_split_to_array(lower(content), '\\s+'), w))) / 3.0 AS score FROM b)
+SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, file_path, line_start LIMIT 10"""
+)
 def deep_search(spark, sf_dir):
-    return engine.deep("theand of tion", _search(spark, sf_dir), 10).select("chunk_id", "score")
+    """Four reformulations fused, then scored by the share of the query's words; the SQL lists the reformulations."""
+    return engine.deep("theand of tion", _search(spark, sf_dir), 10).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+#: As in queries.ranking: each document calls the next three of its source, and every tenth.
+_CALLS = """hop AS (SELECT file_path AS src, unnest([doc_id + 20, doc_id + 40, doc_id + 60, CAST(floor(doc_id / 10) AS BIGINT)]) AS n FROM files),
+edges AS (SELECT DISTINCT src, f.file_path AS dst FROM hop JOIN files f ON f.doc_id = n WHERE src <> f.file_path)"""
+
+
+@query(
+    f"""WITH {CHUNKS}, {_CALLS}, r AS (SELECT dst, count(*) / 10.0::DOUBLE AS rank FROM edges GROUP BY dst),
+hit AS MATERIALIZED (SELECT * FROM (SELECT *, {_occurrences('theand of')} AS score FROM chunks) WHERE score > 0 ORDER BY score DESC, file_path, line_start LIMIT 12),
+b AS MATERIALIZED (SELECT chunk_id, file_path, line_start, score * (1 + 0.3 * coalesce(rank, 0)) AS score FROM hit LEFT JOIN r ON dst = file_path),
+a AS (SELECT file_path, max(score) AS s FROM b GROUP BY file_path), n AS (SELECT src AS f, s FROM a JOIN edges ON dst = file_path UNION ALL SELECT dst, s FROM a JOIN edges ON src = file_path),
+m AS (SELECT f, max(s) AS s FROM n WHERE f NOT IN (SELECT file_path FROM b) GROUP BY f ORDER BY s DESC, f LIMIT 8),
+x AS (SELECT c.chunk_id, c.file_path, c.line_start, s * (0.6 + 0.6 * coalesce(rank, 0)) AS score FROM m JOIN chunks c ON c.file_path = f AND c.line_start = 0 LEFT JOIN r ON dst = f)
+SELECT chunk_id, round(score, 6) AS score FROM (FROM b UNION ALL FROM x) u ORDER BY u.score DESC, file_path, line_start LIMIT 10"""
+)
 def explore_search(spark, sf_dir):
     from seine.queries.ranking import edges
-    from seine.queries.text import chunks
 
     own = edges(spark, sf_dir)
     ranks = own.groupBy(F.col("dst").alias("node")).agg((F.count("*") / 10).alias("rank"))
     hits = _search(spark, sf_dir)("theand of", 12)
-    return engine.explore(hits, chunks(spark, sf_dir), ranks, own, 10).select("chunk_id", "score")
+    return engine.explore(hits, chunks(spark, sf_dir), ranks, own, 10).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
