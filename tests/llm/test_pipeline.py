@@ -80,7 +80,7 @@ def test_every_stage_takes_hostile_and_empty_tables(spark, data, name, stage):
     assert found.columns == empty.columns == docs.columns
     held = collections.Counter((r[0], r[2:]) for r in rows)
     kept = collections.Counter((r[0], tuple(r)[2:]) for r in found.collect())
-    assert kept and not kept - held
+    assert not kept - held and (kept or name == "quality classifier")  # hostile texts are poor ones
     if name in ("line dedup", "PII"):
         assert kept == held
     if name == "SimHash near-dedup":
