@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.llm.tables import line_key, texts
+from seine.llm.tables import line_key, texts, unused
 from seine.store import durable
 
 
@@ -70,14 +70,14 @@ def _kept(lines: Column, lost: Column) -> Column:
     )[0]
 
 
-def _joined(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """`docs` with `lost` (null: nothing); the small side is built, so texts are not sorted."""
-    lost = lost.select(F.col("doc_id").alias("_seine_id"), F.col("th").alias("_seine_th"), F.col("lost").alias("_seine_lost"))
-    return docs.join(
-        lost.hint("shuffle_hash"),
-        (F.col("_seine_key") == F.col("_seine_id")) & (F.col("_seine_hash") == F.col("_seine_th")),
-        "left",
-    )
+def _joined(docs: DataFrame, id_col: str, text_col: str, lost: DataFrame) -> tuple[DataFrame, Column]:
+    """`docs` beside the lines that each text loses (null: none); the small side is built, so texts are not sorted."""
+    key, hashed, own_id, own_hash, gone = unused(docs, "key", "hash", "id", "th", "lost")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(key), F.xxhash64(text).alias(hashed))
+    lost = lost.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_hash), F.col("lost").alias(gone))
+    on = (F.col(key) == F.col(own_id)) & (F.col(hashed) == F.col(own_hash))
+    return keyed.join(lost.hint("shuffle_hash"), on, "left"), F.col(gone)
 
 
 def dedup_lines(
@@ -91,28 +91,20 @@ def dedup_lines(
     line and stays as it is; a row without doc_id is not counted and keeps its lines;
     repeated rows count once and are treated alike.
     """
-    lost = lost_lines(texts(docs, id_col, text_col), least_chars, least_docs)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select("*", F.col(id_col).cast("long").alias("_seine_key"), F.xxhash64(text).alias("_seine_hash"))
-    new = F.when(F.col("_seine_lost").isNull(), F.col(text_col)).otherwise(
-        _kept(F.split(F.col(text_col), "\n", -1), F.col("_seine_lost"))
-    )
-    return _joined(keyed, lost).select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    joined, gone = _joined(docs, id_col, text_col, lost_lines(texts(docs, id_col, text_col), least_chars, least_docs))
+    new = F.when(gone.isNull(), F.col(text_col)).otherwise(_kept(F.split(F.col(text_col), "\n", -1), gone))
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) for every row of `docs`."""
     own = texts(docs)
-    lost = lost_lines(own, least_chars, least_docs)
-    keyed = own.select(
-        "doc_id", "text", F.col("doc_id").alias("_seine_key"), F.xxhash64("text").alias("_seine_hash")
-    )
-    none = F.col("_seine_lost").isNull()
-    kept = F.when(none, F.col("text")).otherwise(_kept(F.split("text", "\n", -1), F.col("_seine_lost")))
+    joined, gone = _joined(own, "doc_id", "text", lost_lines(own, least_chars, least_docs))
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(_kept(F.split("text", "\n", -1), gone))
     breaks = F.char_length("text") - F.char_length(F.translate("text", "\n", ""))
-    return _joined(keyed, lost).select(
+    return joined.select(
         "doc_id",
         (breaks + 1).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("_seine_lost")).cast("long").alias("n_dropped"),
+        F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )

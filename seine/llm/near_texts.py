@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seine.llm.simhash import HELD, _Forest, _masks, shingle_hashes
-from seine.llm.tables import texts
+from seine.llm.tables import texts, unused
 from seine.operators.components import connected_components
 from seine.store import durable, release
 
@@ -356,9 +356,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_copies(texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text"), **options)
     named = found.where("doc_id is not null")
     best = durable(named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("best")), "near-best")
-    lose = named.join(best, "component").where("struct(doc_id, th) <> best").select(F.col("doc_id").alias("_seine_lost"), F.col("th").alias("_seine_th")).distinct()
+    lost, lost_th = unused(docs, "lost", "th")
+    lose = named.join(best, "component").where("struct(doc_id, th) <> best").select(F.col("doc_id").alias(lost), F.col("th").alias(lost_th)).distinct()
     lose = durable(lose, "near-lost")
     for df in (found, best):
         release(df)
-    on = (F.col(id_col).cast("long") == F.col("_seine_lost")) & (th == F.col("_seine_th"))
+    on = (F.col(id_col).cast("long") == F.col(lost)) & (th == F.col(lost_th))
     return docs.join(lose, on, "left_anti")

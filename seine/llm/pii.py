@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.llm.tables import rows, texts
+from seine.llm.tables import rows, texts, unused
 from seine.store import durable
 
 KINDS = ("email", "ip", "card", "phone")
@@ -390,23 +390,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     and are redacted alike; rows without doc_id are treated like others.  Columns of any
     other names come back as they are.  An empty table gives an empty one.
     """
-    keyed = docs.select(
-        "*",
-        F.col(id_col).cast("long").alias("_seine_id"),
-        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_seine_th"),
-    )
+    own_id, own_th, t_id, t_th, found = unused(docs, "id", "th", "t_id", "t_th", "terms")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select("*", F.col(id_col).cast("long").alias(own_id), F.xxhash64(text).alias(own_th))
     terms = (
         find(_keyed(docs, id_col, text_col), **options)
         .where("terms is not null")
-        .groupBy(F.col("doc_id").alias("_seine_t_id"), F.col("th").alias("_seine_t_th"))
-        .agg(F.first("terms").alias("_seine_terms"))
+        .groupBy(F.col("doc_id").alias(t_id), F.col("th").alias(t_th))
+        .agg(F.first("terms").alias(found))
     )
-    on = (F.col("_seine_th") == F.col("_seine_t_th")) & F.col("_seine_id").eqNullSafe(F.col("_seine_t_id"))
+    on = (F.col(own_th) == F.col(t_th)) & F.col(own_id).eqNullSafe(F.col(t_id))
     joined = keyed.join(terms.hint("shuffle_hash"), on, "left")
 
     @F.arrow_udf("string")
     def clean(text, found):
         return pa.array([None if t is None else redact(t, x) for t, x in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
-    new = clean(F.col(text_col).cast("string"), F.col("_seine_terms"))
+    new = clean(F.col(text_col).cast("string"), F.col(found))
     return joined.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

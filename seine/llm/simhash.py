@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seine.llm.tables import texts
+from seine.llm.tables import texts, unused
 from seine.operators.components import connected_components
 from seine.store import durable
 
@@ -223,17 +223,19 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """
     found = durable(near_duplicates(docs, width, radius), "simhash-found")
     named = durable(found.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("own")), "simhash-own")
-    lose = found.join(named, "component_id").where("doc_id <> component_id or fp <> own").select(F.col("doc_id").alias("_seine_lost"), F.col("fp").alias("_seine_fp"))
+    lose = found.join(named, "component_id").where("doc_id <> component_id or fp <> own").select("doc_id", "fp")
     return _without(docs, lose.distinct(), width)
 
 
 def _without(docs: DataFrame, lose: DataFrame, width: int) -> DataFrame:
-    """`docs` less the rows of (doc_id, fingerprint)."""
+    """`docs` less the rows of `lose` (doc_id, fp)."""
+    lost, lost_fp, print_ = unused(docs, "lost", "fp", "own")
+    lose = lose.select(F.col("doc_id").alias(lost), F.col("fp").alias(lost_fp))
 
     @F.arrow_udf("long")
     def print_of(lines):
         return pa.array(_fingerprint_batch(lines.to_pylist(), width), pa.int64())
 
-    own = docs.withColumn("_seine_own", print_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = (F.col("doc_id").cast("long") == F.col("_seine_lost")) & (F.col("_seine_own") == F.col("_seine_fp"))
+    own = docs.withColumn(print_, print_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = (F.col("doc_id").cast("long") == F.col(lost)) & (F.col(print_) == F.col(lost_fp))
     return own.join(lose, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

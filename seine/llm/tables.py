@@ -19,6 +19,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names for working columns beside those of `docs`, whatever these are called."""
+    prefix, taken = "_seine", {c.lower() for c in docs.columns}
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [f"{prefix}_{n}" for n in names]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else; plain lower() where the text is all ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
