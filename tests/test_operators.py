@@ -364,3 +364,46 @@ def test_concept_and_session_boost_caps(spark):
     assert rank.concept_boost(df, clusters, ["t"]).first()["score"] == 25.0
     boosts = spark.createDataFrame([("a", 0.25)], "file_path string, boost double")
     assert rank.session_boost(df, boosts, boosts).first()["score"] == pytest.approx(13.0)
+
+
+def _plain_louvain(around):
+    order = sorted(around)
+    degree = {v: len(around[v]) for v in order}
+    double = sum(degree.values())
+    of, held = {v: i for i, v in enumerate(order)}, {i: degree[v] for i, v in enumerate(order)}
+    moved = True
+    while moved:
+        moved = False
+        for v in order:
+            own, into = of[v], {}
+            for u in around[v]:
+                into[of[u]] = into.get(of[u], 0) + 1
+            held[own] -= degree[v]
+            best, gain = own, into.get(own, 0) - held[own] * degree[v] / double
+            for c in sorted(into):
+                g = into[c] - held[c] * degree[v] / double
+                if g > gain + 1e-10:
+                    best, gain = c, g
+            held[best] += degree[v]
+            of[v], moved = best, moved or best != own
+    return [of[v] for v in order]
+
+
+@pytest.mark.parametrize("most, links", [(4096, 1_000_000), (3, 20)])
+def test_louvain_moves_equal_a_plain_fold(most, links):
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n, m = int(rng.integers(2, 90)), int(rng.integers(1, 400))
+        x, y = rng.integers(0, n, m), rng.integers(0, n, m)
+        if seed % 2:  # two sides without a link among themselves: long runs
+            x, y = x % (n // 2), n // 2 + y % (n - n // 2)
+        pairs = sorted({(min(p), max(p)) for p in zip(x.tolist(), y.tolist()) if p[0] != p[1]}) or [(0, 1)]
+        place = {v: i for i, v in enumerate(sorted({v for p in pairs for v in p}))}
+        a, b = (np.array([place[p[i]] for p in pairs], np.int32) for i in (0, 1))
+        around = {}
+        for u, v in zip(a.tolist(), b.tolist()):
+            around.setdefault(u, set()).add(v)
+            around.setdefault(v, set()).add(u)
+        ptr, adj = graph._adjacency(a, b, block=7)
+        assert all(set(adj[ptr[v] : ptr[v + 1]].tolist()) == around[v] for v in around)
+        assert graph.local_moves(ptr, adj, 100, most, links).tolist() == _plain_louvain(around)
