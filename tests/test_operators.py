@@ -407,3 +407,18 @@ def test_louvain_moves_equal_a_plain_fold(most, links):
         ptr, adj = graph._adjacency(a, b, block=7)
         assert all(set(adj[ptr[v] : ptr[v + 1]].tolist()) == around[v] for v in around)
         assert graph.local_moves(ptr, adj, 100, most, links).tolist() == _plain_louvain(around)
+
+
+def test_quantized_search_is_exact_beyond_its_shortlist(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(8 * rng.normal(size=(900, 8))) / 8  # sums are exact
+    x[600:] = x[rng.integers(0, 40, 300)]  # copies: ties at the k-th place
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>").repartition(3).cache()
+    asked = base.where("vec_id % 30 = 0")
+    codes, book = vectors.product_codes(base, 2, 4)  # coarse: its shortlist of ten misses many
+    got = values(vectors.quantized_top_k(codes, book, base, asked, 10, shortlist=10), "query_id", "rank", "vec_id")
+    want = []
+    for q in range(0, 900, 30):
+        far = [(sum((float(a) - float(b)) * (float(a) - float(b)) for a, b in zip(x[q], v)), i) for i, v in enumerate(x)]
+        want += [(q, r, i) for r, (_, i) in enumerate(sorted(far)[:10])]
+    assert got == sorted(want)
