@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,13 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column], tokens=None)
     """(field, term, key, tf, dl) of fields given as arrays of words; dl is the field's length in tokens.
 
     `tokens` makes the tokens of one word (none: the word is its token); it runs once for
-    each distinct word of a document.  Rows are dealt by key once, for both sums and the
-    lengths, so the splitting is spread even if one file holds all documents.
+    each distinct word of a document.  Documents are dealt by key once, before their words are
+    split, so the splitting is spread even if one file holds all of them and only whole texts
+    are shuffled; the sums and lengths need no other exchange.
     """
     each = [F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items()]
-    found = docs.select(key, F.explode(F.array(*each)).alias("f")).select(key, "f.field", F.explode("f.words").alias("word"))
-    counted = found.repartition(key).groupBy(key, "field", "word").agg(F.count("*").alias("n"))
+    found = docs.repartition(key).select(key, F.explode(F.array(*each)).alias("f")).select(key, "f.field", F.explode("f.words").alias("word"))
+    counted = found.groupBy(key, "field", "word").agg(F.count("*").alias("n"))
     if tokens:
         counted = counted.select(key, "field", "n", F.explode(tokens(F.col("word"))).alias("word"))
     terms = counted.groupBy(key, "field", F.col("word").alias("term")).agg(F.sum("n").alias("tf"))
@@ -38,8 +40,12 @@ def postings(docs: DataFrame, key: str, fields: dict[str, Column], tokens=None)
 
 
 def clustered(index: DataFrame, key: str) -> DataFrame:
-    """Postings in ranges of (term, key), sorted: a stored index whose files and row groups a term filter skips, hot terms over several."""
-    return durable(index, "postings").repartitionByRange("term", key).sortWithinPartitions("term", key)
+    """Postings in segments: each partition has whole documents, sorted by term, so that a term filter skips pages of every file.
+
+    There is no exchange by term: a hot term is spread like the documents, and sums by
+    document or of a few terms are made where the rows are.
+    """
+    return index.sortWithinPartitions("term", key)
 
 
 #: The fields of a chunk that a query searches by default, with their weights.
@@ -146,17 +152,53 @@ def exact_with_fallback(chunks: DataFrame, literal: str, fallback: DataFrame, li
     return every.orderBy("tier", F.desc("score"), "file_path", "line_start").limit(limit)
 
 
+#: Trigrams that leave Python at once.
+TRIGRAMS_AT_ONCE = 200_000
+
+
+def _distinct_trigrams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, as code points of 21 bits each."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return np.zeros(0, np.int64)
+    code = np.sort(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    return code[np.concatenate([[True], code[1:] != code[:-1]])]
+
+
+def _strings(codes: np.ndarray) -> pa.Array:
+    """Trigrams as strings, made in one buffer."""
+    points = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    sizes = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).sum(axis=1)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def trigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (trigram, key): character trigrams, cut in Arrow batches (SQL substring is quadratic on long texts)."""
+    """Distinct (trigram, key): character trigrams, cut in Arrow batches (SQL substring is quadratic on long texts).
+
+    Rows leave a task in batches of about TRIGRAMS_AT_ONCE, whatever the texts' number and lengths.
+    """
+    at_once = TRIGRAMS_AT_ONCE
 
     def run(batches):
         for batch in batches:
-            ids, grams = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {t[k : k + 3] for k in range(len(t) - 2)} if t else set()
-                ids += [i] * len(own)
-                grams += own
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(ids, batch.schema.field(0).type)], ["trigram", key])
+            ids, texts = batch.column(0), batch.column(1)
+            grams, numbers, first, held = [], [], 0, 0
+
+            def rows(upto):
+                every = np.concatenate(grams)
+                who = np.repeat(np.arange(first, upto), numbers)
+                return [pa.RecordBatch.from_arrays([_strings(every[i : i + at_once]), ids.take(pa.array(who[i : i + at_once]))], ["trigram", key]) for i in range(0, len(every), at_once)]
+
+            for i in range(batch.num_rows):
+                own = _distinct_trigrams(texts[i].as_py() or "")
+                grams.append(own)
+                numbers.append(len(own))
+                held += len(own)
+                if held >= at_once or i + 1 == batch.num_rows:
+                    yield from rows(i + 1)
+                    grams, numbers, first, held = [], [], i + 1, 0
 
     kind = dict(docs.select(key).dtypes)[key]
     # dealt by key, as a file of one row group would be one task; the trigrams are many times the text
@@ -166,21 +208,27 @@ def trigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
 #: Changed documents that an overlay holds before it is merged into a new base.
 MOST_CHANGED = 4096
 
+#: Changed keys that are sent to every task: at some 16 bytes each, 32 MB.
+MOST_SENT = 2_000_000
+
 
 def changed_trigrams(index: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
     """A trigram index with the documents of `changed` (key, text; null text: deleted) indexed anew.
 
     The base stays as it is: its rows of changed documents are passed over, theirs are
-    added.  Past MOST_CHANGED documents the result is written as a new base.
+    added.  Past MOST_CHANGED documents the result is written as a new base.  Up to
+    MOST_SENT changed keys go to every task, so that the base is not dealt anew.
     """
     gone = changed.select(key).distinct()
-    now = index.join(gone, key, "left_anti").select("trigram", key).unionByName(trigrams(changed.where(F.col(text).isNotNull()), key, text))
-    return durable(clustered_trigrams(now, key), "trigrams") if gone.limit(MOST_CHANGED + 1).count() > MOST_CHANGED else now
+    n = gone.count()
+    now = index.join(F.broadcast(gone) if n <= MOST_SENT else gone, key, "left_anti").select("trigram", key)
+    now = now.unionByName(trigrams(changed.where(F.col(text).isNotNull()), key, text))
+    return durable(clustered_trigrams(now, key), "trigrams") if n > MOST_CHANGED else now
 
 
 def clustered_trigrams(index: DataFrame, key: str) -> DataFrame:
-    """A trigram index in ranges of (trigram, key), sorted, so that a filter by trigram skips files and row groups."""
-    return durable(index, "trigrams").repartitionByRange("trigram", key).sortWithinPartitions("trigram", key)
+    """A trigram index in segments: the partitions as they are, each sorted, so that a filter by trigram skips pages of every file."""
+    return index.sortWithinPartitions("trigram", key)
 
 
 def list_files(files: DataFrame, glob: str, limit: int) -> DataFrame:

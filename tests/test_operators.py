@@ -422,3 +422,47 @@ def test_quantized_search_is_exact_beyond_its_shortlist(spark):
         far = [(sum((float(a) - float(b)) * (float(a) - float(b)) for a, b in zip(x[q], v)), i) for i, v in enumerate(x)]
         want += [(q, r, i) for r, (_, i) in enumerate(sorted(far)[:10])]
     assert got == sorted(want)
+
+
+def _exchanges(df):
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_postings_are_segments_of_whole_documents(spark):
+    docs = spark.createDataFrame([(i, f"fooBar of w{i % 7} the the x_{i}") for i in range(60)], "id long, text string")
+    index = retrieve.clustered(retrieve.postings(docs, "id", {"content": X.code_words(F.col("text"))}, X.word_tokens), "id")
+    found = _exchanges(index)
+    assert len(found) == 1 and "hashpartitioning(id" in found[0]  # texts, dealt before they are split
+    parts = index.select("id", F.spark_partition_id().alias("p")).distinct()
+    assert parts.count() == 60  # every document in one segment
+    assert values(retrieve.field_statistics(index, "id"), "field", "n", "avgdl") == [("content", 60, 10.0)]
+
+
+def test_trigrams_leave_in_bounded_batches(spark, monkeypatch):
+    texts = ["abcabcabd", None, "", "ab", "é\U0001f600x\U0001f600é", "z" * 50, "".join(map(chr, range(0x4E00, 0x4E40))), "the\nend of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = sorted({(t[k : k + 3], i) for i, t in enumerate(texts) if t for k in range(len(t) - 2)})
+    for most in (200_000, 9):
+        monkeypatch.setattr(retrieve, "TRIGRAMS_AT_ONCE", most)
+        found = retrieve.trigrams(docs, "id", "text")
+        assert values(found, "trigram", "id") == want and found.count() == len(want)
+    index = retrieve.clustered_trigrams(found, "id")
+    assert len(_exchanges(index)) == 1 and values(index, "trigram", "id") == want
+
+
+def test_changed_trigrams_leave_the_base_where_it_is(spark, monkeypatch):
+    texts = [(i, f"text {i} of some words") for i in range(40)]
+    base = retrieve.trigrams(spark.createDataFrame(texts, "id long, text string"), "id", "text").localCheckpoint()
+    changed = [(3, "other"), (5, None), (41, "new text")]
+    want = sorted({(t[k : k + 3], i) for i, t in (dict(texts) | dict(changed)).items() if t for k in range(len(t) - 2)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = retrieve.changed_trigrams(base, spark.createDataFrame(changed, "id long, text string"), "id", "text")
+        plan = now._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert values(now, "trigram", "id") == want
+        monkeypatch.setattr(retrieve, "MOST_SENT", 1)
+        monkeypatch.setattr(retrieve, "MOST_CHANGED", 1)
+        assert values(retrieve.changed_trigrams(base, spark.createDataFrame(changed, "id long, text string"), "id", "text"), "trigram", "id") == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
