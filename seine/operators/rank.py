@@ -3,14 +3,16 @@
 Results are (chunk_id, file_path, line_start, line_end, content, score).  Every stage takes
 and returns such a DataFrame; `pipeline` applies a list of them.  Stages that multiply
 scores are joins with small per-file tables or plain columns; those that depend on what
-was kept before are folds in one group per query or file, whose size is the result's.
+was kept before are folds per query or file, whose size is the result's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,19 +203,30 @@ def truncate_at_cliff(results: DataFrame, least: int = 3, drop: float = 0.35) ->
 
 
 def _fold(results: DataFrame, keep: Callable) -> DataFrame:
-    """Per file, in order of score, line and chunk, keep(row, kept rows) decides; a group is one file's results."""
-
-    def run(pdf):
-        rows = pdf.sort_values(["score", "line_start", "chunk_id"], ascending=[False, True, True])
-        kept: list = []
-        held: list = []
-        for i, row in enumerate(rows.itertuples()):
-            if keep(row, held):
-                kept.append(i)
-                held.append(row)
-        return rows.iloc[kept]
-
-    return results.groupBy("file_path").applyInPandas(run, results.schema)
+    """Per file, in order of score, line and chunk, keep(row, kept rows) decides; a task folds its sorted files one after another."""
+
+    def run(batches):
+        path, held = None, []
+        for batch in batches:
+            stays = []
+            for own, *row in zip(*[batch.column(c).to_pylist() for c in ("file_path", "score", "line_start", "line_end")]):
+                if own != path:
+                    path, held = own, []
+                row = _Result(*row)
+                ok = keep(row, held)
+                if ok:
+                    held.append(row)
+                stays.append(ok)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    dealt = results.repartition("file_path").sortWithinPartitions("file_path", F.desc("score"), "line_start", "chunk_id")
+    return dealt.mapInArrow(run, results.schema)
+
+
+class _Result(NamedTuple):
+    score: float
+    line_start: int
+    line_end: int
 
 
 def overlap_dedup(results: DataFrame) -> DataFrame:

@@ -466,3 +466,77 @@ def test_changed_trigrams_leave_the_base_where_it_is(spark, monkeypatch):
         assert values(retrieve.changed_trigrams(base, spark.createDataFrame(changed, "id long, text string"), "id", "text"), "trigram", "id") == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_surprising_edges_keep_no_list_before_the_best(spark, data):
+    from seine.queries import graphs
+
+    plan = _plan(graphs.surprising_edges(spark, data))
+    assert "TakeOrderedAndProject(limit=25" in plan and "GlobalLimit" not in plan and "limit=1000000" not in plan
+
+
+def test_dedup_folds_stream_over_files_in_small_batches(spark):
+    rng = np.random.default_rng(5)
+    lines = [(f"c{i}", f"f{i % 4}", int(rng.integers(0, 200)), float(rng.integers(1, 6))) for i in range(150)]
+    df = spark.createDataFrame([(c, f, a, a + 37, s) for c, f, a, s in lines], "chunk_id string, file_path string, line_start int, line_end int, score double").repartition(3)
+    want = []
+    for f in sorted({x[1] for x in lines}):
+        kept = []
+        for c, _, a, s in sorted((x for x in lines if x[1] == f), key=lambda x: (-x[3], x[2], x[0])):
+            if not kept or (s >= 0.7 * kept[0][1] and all(abs(a - k) >= 50 for k, _ in kept)):
+                kept.append((a, s))
+                want.append((c, s))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert values(rank.file_dedup(df), "chunk_id", "score") == sorted(want)
+        assert all("FlatMapGroups" not in _plan(f(df)) for f in (rank.file_dedup, rank.overlap_dedup))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_least_shortest_paths_by_places(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = {(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 40, (70, 2)).tolist() if a != b}
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    start = min(around)
+    want, front = {start: [start]}, {start: [start]}
+    for _ in range(6):
+        new = {}
+        for v, path in front.items():
+            for u in around[v] - set(want):
+                new[u] = min(new.get(u, [*path, u]), [*path, u])
+        want |= new
+        front = new
+    joined = []
+    numbered = graph._numbered
+    monkeypatch.setattr(graph, "_numbered", lambda df, *a: joined.append(_plan(df)) or numbered(df, *a))
+    got = {r["node"]: list(r["path"]) for r in graph.shortest_paths(edges_of(spark, sorted(pairs)), start, 6).collect()}
+    assert got == want and joined and all("SortAggregate" not in p and "array" not in p for p in joined)  # no paths along the links
+
+
+def test_ranks_deal_nodes_with_lists_of_targets(spark, monkeypatch):
+    hub = [("hub", f"n{i}") for i in range(50)] + [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n3", "hub")]
+    whole = values(graph.pagerank(edges_of(spark, hub)).selectExpr("node", "round(rank, 9) AS rank"), "node", "rank")
+    seen = []
+    durable = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: seen.append((name, durable(df, name))) or seen[-1][1])
+    monkeypatch.setattr(graph, "LINKS_AT_ONCE", 10)
+    assert values(graph.pagerank(edges_of(spark, hub)).selectExpr("node", "round(rank, 9) AS rank"), "node", "rank") == whole
+    links = dict(seen)["links"].selectExpr("size(to) AS n").collect()
+    assert sum(r["n"] for r in links) == 60 and max(r["n"] for r in links) < 50
+
+
+def test_modularity_counts_each_link_once(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d")])
+    groups = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "node string, community long")
+    found = graph.modularity(e, groups)
+    assert found.first()[0] == pytest.approx(4 / 6 - 2 * 9 / 36)
+    assert sorted((r["x"], r["y"]) for r in graph.pairs_of(e).collect()) == [("a", "b"), ("b", "c"), ("c", "d")]
+    assert _plan(found).count("Union") == 0
