@@ -174,8 +174,8 @@ def complexity_band(n: Column) -> Column:
 
 
 def control_flow(text: Column) -> Column:
-    branch = text.rlike(r"(^|[^A-Za-z0-9_])(if|match|switch|case)[^A-Za-z0-9_]")
-    loop = text.rlike(r"(^|[^A-Za-z0-9_])(for|while|loop)[^A-Za-z0-9_]")
+    branch = text.rlike(r"(?<![A-Za-z0-9_])(?:if|match|switch|case)[^A-Za-z0-9_]")
+    loop = text.rlike(r"(?<![A-Za-z0-9_])(?:for|while|loop)[^A-Za-z0-9_]")
     return F.when(branch & loop, "mixed").when(branch, "branching").when(loop, "looping").otherwise("linear")
 
 

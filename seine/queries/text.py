@@ -150,7 +150,8 @@ CASE WHEN b AND l THEN 'mixed' WHEN b THEN 'branching' WHEN l THEN 'looping' ELS
 )
 def complexity_report(spark, sf_dir):
     cc = X.complexity(F.col("content"))
-    return files(spark, sf_dir).select("file_path", cc.alias("cc"), X.control_flow(F.col("content")).alias("flow")).withColumn("band", X.complexity_band(F.col("cc")))
+    own = files(spark, sf_dir).repartition("doc_id")  # a file of one row group would be one task
+    return own.select("file_path", cc.alias("cc"), X.control_flow(F.col("content")).alias("flow")).withColumn("band", X.complexity_band(F.col("cc")))
 
 
 @query(
