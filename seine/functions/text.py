@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,16 +42,35 @@ def code_tokens(text: Column) -> Column:
     return F.flatten(F.transform(code_words(text), word_tokens))
 
 
+@cache
+def _camel():
+    import regex
+
+    small = r"\p{Ll}\u0295"  # U+0295 is a small letter up to Unicode 15, so in Java
+    return (
+        regex.compile(rf"[{small}\p{{N}}]\p{{Lu}}|\p{{Lu}}\p{{Lu}}[{small}]").search,
+        regex.compile(rf"([{small}\p{{N}}])(\p{{Lu}})").sub,
+        regex.compile(rf"(\p{{Lu}})(\p{{Lu}}[{small}])").sub,
+    )
+
+
+def tokens_of_word(word: str) -> list[str]:
+    """The `word_tokens` of one word, in Python."""
+    has, small, great = _camel()
+    spaced = great(r"\1 \2", small(r"\1 \2", word)) if has(word) else word
+    parts = [p for p in spaced.lower().replace(".", " ").replace("_", " ").split(" ") if p]
+    return list(dict.fromkeys([*parts, word.lower()])) if len(parts) > 1 else parts
+
+
+#: What postings use instead, once for each distinct word that has other characters than these.
+word_tokens.of_word, word_tokens.plain = tokens_of_word, r"^[\p{Ll}\p{Nd}]*$"
+
+
 def query_tokens(text: str) -> list[str]:
     """`code_tokens` of a query, on the driver."""
     import regex
 
-    out: list[str] = []
-    for word in regex.findall(_WORD, text):
-        spaced = regex.sub(r"(\p{Lu})(\p{Lu}\p{Ll})", r"\1 \2", regex.sub(r"(\p{Ll}|\p{N})(\p{Lu})", r"\1 \2", word))
-        parts = [p for p in regex.split("[ ._]+", spaced.lower()) if p]
-        out += dict.fromkeys([*parts, word.lower()]) if len(parts) > 1 else parts
-    return out
+    return [t for word in regex.findall(_WORD, text) for t in tokens_of_word(word)]
 
 
 def identifier_words(name: Column) -> Column:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +23,167 @@ from seine.store import durable
 K1, B = 1.2, 0.75
 
 
+#: Words (and bytes of them) that a task counts and sorts at once, postings that leave Python at once.
+RUN, RUN_BYTES, POSTINGS_AT_ONCE = 4_000_000, 128 << 20, 200_000
+
+
+class _Run(NamedTuple):
+    """Counts of whole documents: distinct `terms` in order, and `counts` at rising `at` = (place of the term * documents + document) * fields + field."""
+
+    terms: pa.Array
+    keys: pa.Array
+    at: np.ndarray
+    counts: np.ndarray
+
+    def rows(self, fields: int):
+        """(place of the term, document, field) of every count."""
+        place, field = np.divmod(self.at, fields)
+        return *np.divmod(place, len(self.keys)), field
+
+
+def _split(words: pa.Array, tokens) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(whether a word is split, how many tokens it has, all tokens in order) of distinct words, nulls among them."""
+    split = pc.fill_null(pc.invert(pc.match_substring_regex(words, tokens.plain)), False).to_numpy(zero_copy_only=False)
+    found = [tokens.of_word(w) for w in words.filter(pa.array(split)).to_pylist()]
+    n = np.zeros(len(words), np.int64)
+    n[split] = [len(x) for x in found]
+    return split, n, pa.array([t for x in found for t in x], pa.string())
+
+
+def _counted(words: list[pa.Array], places: list[np.ndarray], keys: list[pa.Array], held: tuple[pa.Array, np.ndarray, np.ndarray], tokens: list) -> _Run:
+    """The counts of the tokens of words at places (document * fields + field), and of `held`: (terms, places, counts), each once; `tokens` has a splitter or None of each field."""
+    fields = len(tokens)
+    every, place = pa.concat_arrays([held[0][:0], *words]).dictionary_encode(null_encoding="encode"), np.concatenate([held[1][:0], *places])
+    code, known = every.indices.to_numpy(), every.dictionary
+    vocabulary = [held[0], known]
+    if splitter := next(filter(None, tokens), None):
+        split, n_tokens, more = _split(known, splitter)
+        vocabulary.append(more)
+    terms = pa.concat_arrays(vocabulary).dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(terms.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    rank = rank[terms.indices.to_numpy()]
+    held_rank, own_rank, token_rank = np.split(rank, [len(held[0]), len(held[0]) + len(known)])
+    span = sum(map(len, keys)) * fields
+    if splitter:
+        parted = split[code] & np.array([t is not None for t in tokens])[place % fields]
+        c, whole = code[parted], ~parted
+        n = n_tokens[c]
+        nth = np.repeat((np.cumsum(n_tokens) - n_tokens)[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.concatenate([own_rank[code[whole]] * span + place[whole], token_rank[nth] * span + np.repeat(place[parted], n)])
+    else:
+        at = own_rank[code] * span + place
+    before, counts = held_rank * span + held[1], held[2]
+    at, n = np.unique(at, return_counts=True)
+    if len(before):
+        by = np.argsort(before)
+        before, counts = before[by], counts[by]
+        to = np.searchsorted(at, before)
+        same = to < len(at)
+        same[same] = at[to[same]] == before[same]
+        n[to[same]] += counts[same]
+        at, n = np.insert(at, to[~same], before[~same]), np.insert(n, to[~same], counts[~same])
+    return _Run(terms.dictionary.take(order), pa.concat_arrays(keys), at, n)
+
+
+def _runs(batches, tokens: list, most: int):
+    """Runs of about `most` words out of batches (key, words of each field) in the order of keys; `tokens` has a splitter or None of each field.
+
+    Rows of one key are one document and never in two runs; of one that is longer than a run the counts are held, not the words.
+    """
+    fields, none = len(tokens), (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    words, places, keys, held, n, n_bytes, last = [], [], [], none, 0, 0, None
+    for whole in batches:
+        sizes = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in whole.columns[1:]) + 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // max(most // 4, 1))) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+            if begin == end:
+                continue
+            batch = whole.slice(begin, end - begin)
+            key = batch.column(0)
+            code = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.concatenate([[last is None or key[0].as_py() != last[0]], code[1:] != code[:-1]])
+            document = sum(map(len, keys)) - 1 + np.cumsum(starts)
+            keys.append(key.filter(pa.array(starts)))
+            last = (key[-1].as_py(),)
+            for f in range(fields):
+                own = batch.column(1 + f)
+                words.append(own.flatten().cast(pa.string()))
+                places.append(document[pc.list_parent_indices(own).to_numpy()] * fields + f)
+                n_bytes += words[-1].nbytes
+            n += int(sizes[begin:end].sum())
+            if n < most and n_bytes < RUN_BYTES:
+                continue
+            run = _counted(words, places, keys, held, tokens)
+            place, doc, field = run.rows(fields)
+            going = doc == len(run.keys) - 1  # the last document may go on
+            held = run.terms.take(pa.array(place[going])), field[going], run.counts[going]
+            if len(run.keys) > 1:
+                yield _Run(run.terms, run.keys, run.at[~going], run.counts[~going])
+            words, places, keys, n, n_bytes = [], [], [run.keys[-1:]], 0, 0
+    if keys:
+        yield _counted(words, places, keys, held, tokens)
+
+
+def _dealt(docs: DataFrame, key: str, fields: dict[str, Column], tokens) -> tuple[DataFrame, list]:
+    """(key, words of each field), dealt by key and in its order, with what is left to split them by in Python; texts are split where they arrive."""
+    by = [tokens.get(f) if isinstance(tokens, dict) else tokens for f in fields]
+    later = [t if hasattr(t, "of_word") else None for t in by]
+    if len({id(t) for t in later if t}) > 1:
+        raise ValueError("fields have one splitter of words, or none")
+    words = [F.flatten(F.transform(w, t)) if t and not l else w for w, t, l in zip(fields.values(), by, later)]
+    return docs.repartition(key).sortWithinPartitions(key).select(key, *[w.alias(f"_f{i}") for i, w in enumerate(words)]), later
+
+
 def postings(docs: DataFrame, key: str, fields: dict[str, Column], tokens=None) -> DataFrame:
     """(field, term, key, tf, dl) of fields given as arrays of words; dl is the field's length in tokens.
 
-    `tokens` makes the tokens of one word (none: the word is its token); it runs once for
-    each distinct word of a document.  Documents are dealt by key once, before their words are
-    split, so the splitting is spread even if one file holds all of them and only whole texts
-    are shuffled; the sums and lengths need no other exchange.
+    `tokens` makes the tokens of one word, an array that is not null (none: the word is its token); a dict names the fields whose
+    words have it.  One with an `of_word` (`X.word_tokens`) runs once for each distinct word of a run.  Documents are dealt by key
+    once, before their words are split, so the splitting is spread even if one file holds all of them and only whole texts are
+    shuffled.  A task counts runs of about RUN words over whole documents, whatever its share of the corpus, and gives each run
+    sorted by term and key: stored, a term filter skips nearly all pages of every run, and no sort of all postings is made.
     """
-    each = [F.struct(F.lit(name).alias("field"), words.alias("words")) for name, words in fields.items()]
-    found = docs.repartition(key).select(key, F.explode(F.array(*each)).alias("f")).select(key, "f.field", F.explode("f.words").alias("word"))
-    counted = found.groupBy(key, "field", "word").agg(F.count("*").alias("n"))
-    if tokens:
-        counted = counted.select(key, "field", "n", F.explode(tokens(F.col("word"))).alias("word"))
-    terms = counted.groupBy(key, "field", F.col("word").alias("term")).agg(F.sum("n").alias("tf"))
-    dl = F.sum("tf").over(Window.partitionBy(key, "field")).cast("int")
-    return terms.select("field", "term", key, "tf", dl.alias("dl"))
+    names, most, at_once = pa.array(list(fields), pa.string()), RUN, POSTINGS_AT_ONCE
+    dealt, later = _dealt(docs, key, fields, tokens)
+
+    def run(batches):
+        for one in _runs(batches, later, most):
+            place, doc, field = one.rows(len(names))
+            slot = doc * len(names) + field
+            length = np.bincount(slot, one.counts, len(one.keys) * len(names)).astype(np.int32)
+            for i in range(0, len(place), at_once):
+                j = slice(i, i + at_once)
+                columns = [names.take(pa.array(field[j])), one.terms.take(pa.array(place[j])), one.keys.take(pa.array(doc[j])), pa.array(one.counts[j]), pa.array(length[slot[j]])]
+                yield pa.RecordBatch.from_arrays(columns, ["field", "term", key, "tf", "dl"])
+
+    kind = dict(docs.select(key).dtypes)[key]
+    return dealt.mapInArrow(run, f"field string, term string, {key} {kind}, tf long, dl int")
+
+
+def term_counts(docs: DataFrame, key: str, fields: dict[str, Column], tokens=None) -> DataFrame:
+    """`term_statistics` of the `postings` of documents, without making these: each run is summed where it is counted."""
+    names, most, at_once = pa.array(list(fields), pa.string()), RUN, POSTINGS_AT_ONCE
+    dealt, later = _dealt(docs, key, fields, tokens)
+
+    def run(batches):
+        for one in _runs(batches, later, most):
+            place, _, field = one.rows(len(names))
+            slot = place * len(names) + field
+            df, cf = np.bincount(slot), np.bincount(slot, one.counts).astype(np.int64)
+            found = np.flatnonzero(df)
+            for i in range(0, len(found), at_once):
+                place, field = np.divmod(found[i : i + at_once], len(names))
+                columns = [names.take(pa.array(field)), one.terms.take(pa.array(place)), *[pa.array(c[found[i : i + at_once]]) for c in (df, cf)]]
+                yield pa.RecordBatch.from_arrays(columns, ["field", "term", "df", "cf"])
+
+    each = dealt.mapInArrow(run, "field string, term string, df long, cf long")
+    return each.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def clustered(index: DataFrame, key: str) -> DataFrame:
-    """Postings in segments: each partition has whole documents, sorted by term, so that a term filter skips pages of every file.
+    """An index as one segment a partition, sorted by term, for one that was not made by `postings` or to join the runs of one that was.
 
     There is no exchange by term: a hot term is spread like the documents, and sums by
     document or of a few terms are made where the rows are.

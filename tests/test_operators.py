@@ -1,9 +1,12 @@
 """Semantics that SQL cannot say, on small fixtures with results derived by hand."""
 
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from seine.functions import text as X
@@ -438,6 +441,44 @@ def test_postings_are_segments_of_whole_documents(spark):
     assert values(retrieve.field_statistics(index, "id"), "field", "n", "avgdl") == [("content", 60, 10.0)]
 
 
+def _plain_postings(docs, splits):
+    """Postings by counting: rows of one key are one document."""
+    tf = Counter((f, t, r[0]) for r in docs for f, words in zip(splits, r[1:]) for w in words or [] for t in (X.tokens_of_word(w) if splits[f] and w is not None else [w]))
+    dl = Counter()
+    for (f, _, k), n in tf.items():
+        dl[f, k] += n
+    return Counter({(f, t, k, n, dl[f, k]): 1 for (f, t, k), n in tf.items()})
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 4_000_000])
+def test_postings_are_counted_in_runs(spark, monkeypatch, most):
+    docs = [(i % 23, [f"fooBar{i % 3}", "the", "the.", "x_Y", None, "..."][: i % 7], ["The", f"a{i}"]) for i in range(80)]
+    docs += [(None, ["nul", "Key"], None), (None, ["nul"], []), (99, None, None), (100, [], ["z"]), *[(101, [f"w{j % 9}"], None) for j in range(60)]]
+    monkeypatch.setattr(retrieve, "RUN", most)
+    monkeypatch.setattr(retrieve, "POSTINGS_AT_ONCE", 7)
+    df = spark.createDataFrame(docs, "id long, a array<string>, b array<string>")
+    fields = {"a": F.col("a"), "b": F.col("b")}
+    for tokens, splits in ((X.word_tokens, {"a": 1, "b": 1}), ({"a": X.word_tokens}, {"a": 1, "b": 0}), ({"a": lambda w: X.word_tokens(w)}, {"a": 1, "b": 0}), (None, {"a": 0, "b": 0})):
+        found = retrieve.postings(df, "id", fields, tokens)
+        want = _plain_postings(docs, splits)
+        assert Counter(map(tuple, found.collect())) == want
+        counts = retrieve.term_counts(df, "id", fields, tokens)
+        assert sorted(map(str, counts.collect())) == sorted(map(str, retrieve.term_statistics(found).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and "[term" not in "".join(x for x in plan.splitlines() if "Sort" in x)
+    assert retrieve.postings(df.limit(0), "id", fields).count() == 0 == retrieve.term_counts(df.limit(0), "id", fields).count()
+
+
+def test_one_word_splits_in_python_as_in_spark(spark):
+    cased = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lm", "Nd", "Nl", "No")]
+    forms = [f for c in cased for f in (c, f"a{c}b", f"A{c}b", f"x.{c}Q_{c}{c}z", f"A{c}")] + ["...", "_a__B.", "HTTPServer2Go", "ΟΔΟΣ", "ΣAΣ.ΑΣ"]
+    df = spark.createDataFrame([(f,) for f in forms], "w string").where(F.col("w").rlike(r"^[\p{L}\p{N}_.]+$"))  # what the text's splitter gives
+    found = df.select("w", X.word_tokens(F.col("w")).alias("t")).collect()
+    assert len(found) > 20_000 and [r for r in found if r["t"] != X.tokens_of_word(r["w"])] == []
+    plain = regex.compile(X.word_tokens.plain.replace("$", r"\Z"))
+    assert all(r["t"] == [r["w"]] for r in found if plain.match(r["w"]))
+
+
 def test_trigrams_leave_in_bounded_batches(spark, monkeypatch):
     texts = ["abcabcabd", None, "", "ab", "é\U0001f600x\U0001f600é", "z" * 50, "".join(map(chr, range(0x4E00, 0x4E40))), "the\nend of it"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
