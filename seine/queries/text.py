@@ -90,9 +90,9 @@ def list_files_by_glob(spark, sf_dir):
 
 @query(f"WITH {FILES}, {tokens_sql('files', 'doc_id', 'content')} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t_files GROUP BY token")
 def code_tokenizer(spark, sf_dir):
-    """How often and in how many documents each token stands; words are split once a document."""
-    found = retrieve.postings(files(spark, sf_dir), "doc_id", {"content": X.code_words(F.col("content"))}, X.word_tokens)
-    return found.groupBy(F.col("term").alias("token")).agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    """How often and in how many documents each token stands, counted in runs of whole documents."""
+    found = retrieve.term_counts(files(spark, sf_dir), "doc_id", {"content": X.code_words(F.col("content"))}, X.word_tokens)
+    return found.select(F.col("term").alias("token"), F.col("cf").alias("n"), F.col("df").alias("docs"))
 
 
 NAMES = "names AS (SELECT p_partkey, p_type || '_' || p_name AS name FROM part)"
